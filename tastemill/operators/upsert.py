@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tastemill import fixed
 from tastemill.functions.text import account_name, display_name
 from tastemill.operators.numbering import dense_index
+from tastemill.schemas import conform
 
 RATING_KEY = ("userId", "movieId")
 RATING_ORDER = ("timestamp", "rating")
@@ -142,7 +143,7 @@ def upsert_recommendations(old: DataFrame, new: DataFrame, mode: str = "replace_
         raise ValueError(f"unknown mode {mode}")
     kept = old.join(new.select("algorithm").distinct(), "algorithm", "left_anti").select(*old.columns)
     fresh = latest_per_key(new.select(*old.columns), RECOMMENDATION_KEY, ["created_at"])
-    return kept.unionByName(fresh.to(old.schema))
+    return kept.unionByName(conform(fresh, old.schema))
 
 
 def metadata_columns(overwrite_stats: bool = True) -> tuple[str, ...]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -48,3 +50,10 @@ ITEM_DOCUMENT = _struct(
 )
 
 STAT_SUMS = _struct("movieId bigint, sum10 bigint, n bigint")
+
+TREND_COUNTS = _struct("start timestamp, movieId bigint, n bigint")
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of a schema, in its order and types."""
+    return df.select(*[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemill.operators.upsert import upsert
+from tastemill.schemas import conform
 
 COMMITTED = "_SUCCESS"
 
@@ -80,7 +81,7 @@ class KeyedTable:
         """Store rows as a version unless it is complete already; their buckets are replaced."""
         if self.committed(version):
             return
-        rows = df.to(self.schema).withColumn("bucket", self.bucket())
+        rows = conform(df, self.schema).withColumn("bucket", self.bucket())
         # Rebalancing gathers each bucket and splits it again where it is large.
         rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             self._version_path(version))

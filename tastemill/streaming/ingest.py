@@ -175,6 +175,23 @@ def items_batch(movies: KeyedTable, rejects: str | None = None, overwrite_stats:
     return run
 
 
+def counts_store(spark: SparkSession, path: str, buckets: int = 8) -> KeyedTable:
+    return KeyedTable(spark, path, schemas.TREND_COUNTS, ["start", "movieId"], buckets)
+
+
+def counts_batch(counts: KeyedTable) -> BatchFn:
+    """Keep the newest count of every span and movie the batch brings."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            counts.merge(batch, FIRST_BATCH_VERSION + batch_id, ["n"])
+        finally:
+            batch.unpersist()
+
+    return run
+
+
 def start_ingest(df: DataFrame, fn: BatchFn, checkpoint: str, trigger: str | None = StreamConfig.trigger,
                  name: str | None = None) -> StreamingQuery:
     """Run a stream into a batch writer; without a trigger it takes what is there and stops."""

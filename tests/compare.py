@@ -1,0 +1,54 @@
+"""Run a query and its SQL over the same tables and compare schema and rows."""
+
+from __future__ import annotations
+
+import math
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+          "labels conversations").split()
+
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
+    return con
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return None if math.isnan(value) else round(value, 6) + 0.0
+    return value
+
+
+def _rows(rows, order):
+    return sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=repr)
+
+
+def differences(df, con, sql: str) -> list[str]:
+    """What differs between a DataFrame and the result of the SQL; empty if nothing does."""
+    relation = con.sql(sql)
+    problems = []
+    ours = {field.name: KINDS.get(field.dataType.simpleString(), field.dataType.simpleString()) for field in df.schema}
+    theirs = {name: str(kind) for name, kind in zip(relation.columns, relation.types)}
+    if ours != theirs:
+        gap = set(ours.items()) ^ set(theirs.items())
+        problems.append(f"schema: {sorted(gap)}")
+    if set(ours) != set(theirs):
+        return problems
+    names = sorted(ours)
+    left = _rows(df.select(*names).collect(), range(len(names)))
+    at = [relation.columns.index(name) for name in names]
+    right = _rows(relation.fetchall(), at)
+    if len(left) != len(right):
+        problems.append(f"rows: {len(left)} and {len(right)}")
+    if left != right:
+        one, two = [r for r in left if r not in set(right)][:3], [r for r in right if r not in set(left)][:3]
+        problems.append(f"values of {names}: only Spark {one}, only SQL {two}")
+    return problems
