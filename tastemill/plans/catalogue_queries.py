@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tastemill import schemas
 from tastemill.functions import numbers, text, times
 from tastemill.functions.documents import flatten_items
 from tastemill.operators import aggregates, feeds, filters, integrity, joins, ranking, upsert
@@ -216,9 +217,9 @@ SELECT id, title, originalTitle, genres, year, mlMovieId, imdbId, tmdbId, source
 def upsert_catalogue(spark, folder):
     known = warehouse.movie(spark, folder).join(
         warehouse.table(spark, folder, "part").where("p_size <= 40").select(F.col("p_partkey").alias("id")),
-        "id", "left_semi").select(warehouse.schemas.MOVIE.names)
+        "id", "left_semi").select(schemas.MOVIE.names)
     staged = joins.stage_movies(warehouse.raw_movies(spark, folder), warehouse.raw_links(spark, folder))
-    merged = upsert.upsert_catalogue(known, staged, warehouse.NOW)
+    merged = upsert.upsert_catalogue(known, staged, warehouse.moment(warehouse.NOW))
     return plain(merged.drop("director", "actors", "description", "posterUrl"))
 
 
@@ -320,7 +321,7 @@ SELECT merged.* REPLACE (COALESCE(merged.id, fresh.id) AS id) FROM merged LEFT J
 def upsert_metadata(spark, folder):
     items = flatten_items(warehouse.item_documents(warehouse.table(spark, folder, "part")))
     batch = items.withColumn("tmdbId", F.concat(F.lit("t"), "tmdbId"))
-    return plain(upsert.upsert_metadata(warehouse.movie(spark, folder), batch, warehouse.NOW))
+    return plain(upsert.upsert_metadata(warehouse.movie(spark, folder), batch, warehouse.moment(warehouse.NOW)))
 
 
 @query("require_non_null", f"""WITH {MOVIE}

@@ -90,7 +90,7 @@ def upsert_ratings(spark, folder):
     log = warehouse.rating_log(spark, folder)
     early, late = log.where(F.col("timestamp") < CUTOFF), log.where(F.col("timestamp") >= CUTOFF)
     known = typed_ratings(upsert.latest_per_key(early, upsert.RATING_KEY, ["timestamp", "seq"]))
-    return plain(upsert.upsert_ratings(known, late, warehouse.NOW, order_by=["timestamp", "seq"]))
+    return plain(upsert.upsert_ratings(known, late, warehouse.moment(warehouse.NOW), order_by=["timestamp", "seq"]))
 
 
 @query("upsert_users", f"""WITH {USER}, {RATING_LOG},
@@ -106,7 +106,7 @@ def upsert_users(spark, folder):
     known = warehouse.user(spark, folder)
     known = known.join(rich, "id", "left_semi").select(known.columns)
     ids = aggregates.distinct_user_ids(warehouse.rating_log(spark, folder)).withColumnRenamed("userId", "mlUserId")
-    merged = upsert.upsert_users(known, upsert.stage_users(ids), warehouse.NOW)
+    merged = upsert.upsert_users(known, upsert.stage_users(ids), warehouse.moment(warehouse.NOW))
     return plain(merged.select("id", "userName", "userAccount", "mlUserId", "source", "created_at"))
 
 
@@ -371,7 +371,7 @@ SELECT userId, movieId, score, CAST(row_number() OVER (PARTITION BY userId ORDER
        'ALS' AS algorithm, CAST({NOW} AS BIGINT) AS created_at
 FROM scored QUALIFY rank <= 20""")
 def rank_recommendations(spark, folder):
-    return plain(ranking.rank_recommendations(warehouse.scored(spark, folder), 20, now=warehouse.NOW))
+    return plain(ranking.rank_recommendations(warehouse.scored(spark, folder), 20, now=warehouse.moment(warehouse.NOW)))
 
 
 RUNS = f"""{RATINGS}, {SCORED}, {ranked('old', 'scored.score >= 5', 20)},
@@ -381,7 +381,7 @@ RUNS = f"""{RATINGS}, {SCORED}, {ranked('old', 'scored.score >= 5', 20)},
 def two_runs(spark, folder):
     """An earlier run that is stored, and a new one."""
     best = warehouse.scored(spark, folder).where(F.col("score") >= 4)
-    fresh = ranking.rank_recommendations(best, 10, now=warehouse.NOW)
+    fresh = ranking.rank_recommendations(best, 10, now=warehouse.moment(warehouse.NOW))
     old = warehouse.recommendation(spark, folder)
     return old, fresh
 

@@ -45,7 +45,7 @@ def run_ratings(spark, folder, mode="latest", how="delta"):
     source = parse_message(
         warehouse.rating_messages(warehouse.stream_table(spark, folder, "events")), schemas.RATING_EVENT)
     writer = ingest.ratings_batch(
-        ingest.rating_store(spark, base), ingest.sums_store(spark, base), f"{base}/rejects", how, warehouse.NOW)
+        ingest.rating_store(spark, base), ingest.sums_store(spark, base), f"{base}/rejects", how, warehouse.moment(warehouse.NOW))
     checkpoint = ingest.checkpoint_dir(f"{base}/checkpoints", "ratings-ingest")
     ingest.start_ingest(ingest.rating_stream(source, mode), writer, checkpoint, trigger=None).awaitTermination()
     return base
@@ -95,7 +95,7 @@ def stream_items(spark, folder):
     items = flatten_items(warehouse.item_documents(warehouse.stream_table(spark, folder, "part")))
     messages = to_message(items.withColumn("tmdbId", F.concat(F.lit("t"), "tmdbId")))
     source = ingest.item_stream(parse_message(messages, schemas.ITEM_EVENT))
-    writer = ingest.items_batch(movies, f"{base}/rejects", now=warehouse.NOW)
+    writer = ingest.items_batch(movies, f"{base}/rejects", now=warehouse.moment(warehouse.NOW))
     checkpoint = ingest.checkpoint_dir(f"{base}/checkpoints", "movies-ingest")
     ingest.start_ingest(source, writer, checkpoint, trigger=None).awaitTermination()
     return plain(movies.read())

@@ -6,52 +6,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+LONG, INT, BYTE, TEXT = T.LongType(), T.IntegerType(), T.ByteType(), T.StringType()
+DOUBLE, MOMENT = T.DoubleType(), T.TimestampType()
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**fields: T.DataType) -> T.StructType:
+    """A schema from names and types; needs no session."""
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-USER = _struct(
-    "id bigint, userName string, userAccount string, gender tinyint, mlUserId bigint, source string, "
-    "created_at timestamp, updated_at timestamp"
-)
 
-MOVIE = _struct(
-    "id bigint, title string, originalTitle string, genres string, year int, director string, actors string, "
-    "description string, posterUrl string, mlMovieId bigint, imdbId string, tmdbId string, source string, "
-    "avgRating decimal(3,2), ratingCount int, created_at timestamp, updated_at timestamp"
-)
+USER = struct(id=LONG, userName=TEXT, userAccount=TEXT, gender=BYTE, mlUserId=LONG, source=TEXT,
+              created_at=MOMENT, updated_at=MOMENT)
 
-RATING = _struct(
-    "userId bigint, movieId bigint, rating decimal(2,1), timestamp bigint, "
-    "created_at timestamp, updated_at timestamp"
-)
+MOVIE = struct(id=LONG, title=TEXT, originalTitle=TEXT, genres=TEXT, year=INT, director=TEXT, actors=TEXT,
+               description=TEXT, posterUrl=TEXT, mlMovieId=LONG, imdbId=TEXT, tmdbId=TEXT, source=TEXT,
+               avgRating=T.DecimalType(3, 2), ratingCount=INT, created_at=MOMENT, updated_at=MOMENT)
 
-RECOMMENDATION = _struct(
-    "userId bigint, movieId bigint, score decimal(10,8), rank int, algorithm string, created_at timestamp"
-)
+RATING = struct(userId=LONG, movieId=LONG, rating=T.DecimalType(2, 1), timestamp=LONG,
+                created_at=MOMENT, updated_at=MOMENT)
+
+RECOMMENDATION = struct(userId=LONG, movieId=LONG, score=T.DecimalType(10, 8), rank=INT, algorithm=TEXT,
+                        created_at=MOMENT)
 
 # Files arrive as text; parse_or_reject casts them and keeps what does not parse.
-MOVIES_CSV = _struct("movieId string, title string, genres string")
-LINKS_CSV = _struct("movieId string, imdbId string, tmdbId string")
-RATINGS_CSV = _struct("userId string, movieId string, rating string, timestamp string")
+MOVIES_CSV = struct(movieId=TEXT, title=TEXT, genres=TEXT)
+LINKS_CSV = struct(movieId=TEXT, imdbId=TEXT, tmdbId=TEXT)
+RATINGS_CSV = struct(userId=TEXT, movieId=TEXT, rating=TEXT, timestamp=TEXT)
 
-RATING_EVENT = _struct("userId bigint, movieId bigint, rating double, timestamp bigint")
+RATING_EVENT = struct(userId=LONG, movieId=LONG, rating=DOUBLE, timestamp=LONG)
 
-ITEM_EVENT = _struct(
-    "tmdbId string, title string, originalTitle string, genres string, year int, director string, actors string, "
-    "description string, posterUrl string, avgRating double, ratingCount int"
-)
+ITEM_EVENT = struct(tmdbId=TEXT, title=TEXT, originalTitle=TEXT, genres=TEXT, year=INT, director=TEXT, actors=TEXT,
+                    description=TEXT, posterUrl=TEXT, avgRating=DOUBLE, ratingCount=INT)
 
-ITEM_DOCUMENT = _struct(
-    "id bigint, title string, original_title string, overview string, release_date string, poster_path string, "
-    "vote_average double, vote_count int, genres array<struct<name:string>>, "
-    "credits struct<cast:array<struct<name:string>>,crew:array<struct<name:string,job:string>>>"
-)
+ITEM_DOCUMENT = struct(
+    id=LONG, title=TEXT, original_title=TEXT, overview=TEXT, release_date=TEXT, poster_path=TEXT,
+    vote_average=DOUBLE, vote_count=INT, genres=T.ArrayType(struct(name=TEXT)),
+    credits=struct(cast=T.ArrayType(struct(name=TEXT)), crew=T.ArrayType(struct(name=TEXT, job=TEXT))))
 
-STAT_SUMS = _struct("movieId bigint, sum10 bigint, n bigint")
+# Ratings of a movie: their sum in tenths and their number.
+STAT_SUMS = struct(movieId=LONG, sum10=LONG, n=LONG)
 
-TREND_COUNTS = _struct("start timestamp, movieId bigint, n bigint")
+TREND_COUNTS = struct(start=MOMENT, movieId=LONG, n=LONG)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

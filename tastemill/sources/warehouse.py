@@ -19,11 +19,15 @@ from tastemill.operators.ranking import rank_recommendations
 from tastemill.operators.upsert import RATING_KEY, apply_movie_stats, latest_per_key
 from tastemill.schemas import conform
 
-NOW = F.lit("2024-06-01 00:00:00+00:00").cast("timestamp")
-LOADED = F.lit("2024-01-01 00:00:00+00:00").cast("timestamp")
+NOW = "2024-06-01 00:00:00+00:00"
+LOADED = "2024-01-01 00:00:00+00:00"
 SEQ_STEP = 10  # an order has fewer lines than this
 
 
+def moment(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -49,8 +53,8 @@ def rating_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def rating(spark: SparkSession, folder: str) -> DataFrame:
     """The rating table."""
-    moment = F.timestamp_seconds("timestamp")
-    history = rating_history(spark, folder).withColumns({"created_at": moment, "updated_at": moment})
+    given = F.timestamp_seconds("timestamp")
+    history = rating_history(spark, folder).withColumns({"created_at": given, "updated_at": given})
     return conform(history, schemas.RATING)
 
 
@@ -64,8 +68,8 @@ def user(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).alias("gender"),
         key.alias("mlUserId"),
         F.lit(fixed.SOURCE_CATALOGUE).alias("source"),
-        LOADED.alias("created_at"),
-        LOADED.alias("updated_at"),
+        moment(LOADED).alias("created_at"),
+        moment(LOADED).alias("updated_at"),
     )
     return conform(rows, schemas.USER)
 
@@ -118,8 +122,8 @@ def movie(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("p_brand") == "Brand#2", fixed.SOURCE_FEED).otherwise(fixed.SOURCE_CATALOGUE).alias("source"),
         F.lit(0).alias("avgRating"),
         F.lit(0).alias("ratingCount"),
-        LOADED.alias("created_at"),
-        LOADED.alias("updated_at"),
+        moment(LOADED).alias("created_at"),
+        moment(LOADED).alias("updated_at"),
     )
     return conform(rows, schemas.MOVIE)
 
@@ -139,7 +143,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def recommendation(spark: SparkSession, folder: str, top_n: int = 20) -> DataFrame:
     """The recommendation table: five-star candidates, so some users have none."""
     best = scored(spark, folder).where(F.col("score") >= 5)
-    return conform(rank_recommendations(best, top_n, now=LOADED), schemas.RECOMMENDATION)
+    return conform(rank_recommendations(best, top_n, now=moment(LOADED)), schemas.RECOMMENDATION)
 
 
 def feeds(spark: SparkSession, folder: str) -> list[tuple[str, DataFrame]]:

@@ -1,0 +1,150 @@
+"""Laws of insert-or-update."""
+
+import datetime
+from decimal import Decimal
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tastemill import schemas
+from tastemill.operators.aggregates import (
+    add_stats,
+    apply_movie_stats,
+    finish_stats,
+    movie_stats,
+    refresh_stats,
+    stat_deltas,
+    stat_sums,
+)
+from tastemill.operators.upsert import (
+    assign_ids,
+    latest_per_key,
+    stage_users,
+    upsert,
+    upsert_ratings,
+    upsert_recommendations,
+    upsert_users,
+)
+from tastemill.sources.warehouse import moment
+
+T0 = datetime.datetime(2024, 1, 1)
+NOW_TEXT = "2024-06-01 00:00:00"
+NOW = datetime.datetime(2024, 6, 1)
+SMALL = "k bigint, a string, b string, created_at timestamp, updated_at timestamp"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_insert_update_keep(spark, small):
+    target = spark.createDataFrame([(1, "x", "p", T0, T0), (2, "y", "q", T0, T0), (4, "s", "q", T0, T0)], SMALL)
+    updates = spark.createDataFrame(
+        [(2, None, "new", 1), (3, "n", "new", 1), (3, "m", "new", 2), (4, "s", "new", 1)], "k bigint, a string, b string, seq int")
+    merged = upsert(target, updates, ["k"], ["a"], order_by=["seq"], now=moment(NOW_TEXT), small_updates=small)
+    assert rows(merged) == [
+        (1, "x", "p", T0, T0), (2, None, "q", T0, NOW), (3, "m", "new", NOW, NOW), (4, "s", "q", T0, T0)]
+    always = upsert(target, updates, ["k"], ["a"], order_by=["seq"], now=moment(NOW_TEXT), touch="always", small_updates=small)
+    assert {row[0]: row[4] for row in rows(always)} == {1: T0, 2: NOW, 3: NOW, 4: NOW}
+
+
+def test_null_keys_never_match(spark):
+    target = spark.createDataFrame([(None, "x"), (None, "y"), (1, "z")], "k bigint, a string")
+    updates = spark.createDataFrame([(1, "n")], "k bigint, a string")
+    assert rows(upsert(target, updates, ["k"], ["a"])) == [(1, "n"), (None, "x"), (None, "y")]
+
+
+def test_defaults_for_new_rows(spark):
+    target = spark.createDataFrame([(1, 5)], "k bigint, n int")
+    updates = spark.createDataFrame([(1,), (2,)], "k bigint")
+    assert rows(upsert(target, updates, ["k"], [], defaults={"n": F.lit(0)})) == [(1, 5), (2, 0)]
+
+
+rating = st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(2, 10), st.integers(0, 50))
+batches = st.lists(rating, max_size=12)
+
+
+def table(spark, events):
+    typed = [(u, m, Decimal(r) / 2, t) for u, m, r, t in events]
+    return spark.createDataFrame(typed, "userId bigint, movieId bigint, rating decimal(2,1), timestamp bigint")
+
+
+def empty(spark):
+    return spark.createDataFrame([], schemas.RATING)
+
+
+@settings(max_examples=3, deadline=None)
+@given(batches, batches, st.booleans())
+def test_laws(spark, first, second, small):
+    one, two = table(spark, first), table(spark, second)
+    columns = ["userId", "movieId", "rating", "timestamp"]
+
+    def merge(target, updates):
+        return upsert_ratings(target, updates, keep_newer=True, small_updates=small)
+
+    once = merge(empty(spark), one)
+    assert rows(merge(once, one)) == rows(once)
+    both = merge(once, two)
+    assert rows(both.select(columns)) == rows(merge(merge(empty(spark), two), one).select(columns))
+    assert rows(both.select(columns)) == rows(merge(empty(spark), one.union(two)).select(columns))
+    expected = {}
+    for u, m, r, t in first + second:
+        expected[(u, m)] = max(expected.get((u, m), (t, r)), (t, r))
+    assert {(u, m): (t, int(r * 2)) for u, m, r, t in map(tuple, both.select(columns).collect())} == expected
+
+
+@settings(max_examples=3, deadline=None)
+@given(batches, batches)
+def test_refreshed_and_added_stats_equal_a_full_count(spark, first, second):
+    before = latest_per_key(table(spark, first), ["userId", "movieId"], ["timestamp", "rating"])
+    batch = table(spark, second)
+    after = latest_per_key(table(spark, first + second), ["userId", "movieId"], ["timestamp", "rating"])
+    full = rows(movie_stats(after))
+    assert rows(finish_stats(add_stats(stat_sums(before), stat_deltas(before, after)))) == full
+    movies = spark.createDataFrame(
+        [(i, None, None) for i in range(4)], "id bigint, avgRating decimal(3,2), ratingCount int")
+    stale = apply_movie_stats(movies, movie_stats(before))
+    fresh = refresh_stats(after, stale, batch)
+    assert rows(fresh.where("ratingCount is not null")) == full
+
+
+def test_stats_leave_other_movies_alone(spark):
+    movies = spark.createDataFrame(
+        [(1, Decimal("2.50"), 4), (2, Decimal("1.00"), 1)], "id bigint, avgRating decimal(3,2), ratingCount int")
+    stats = spark.createDataFrame([(2, Decimal("4.00"), 2), (9, Decimal("4.00"), 2)],
+                                  "movieId bigint, avgRating decimal(3,2), ratingCount bigint")
+    assert rows(apply_movie_stats(movies, stats)) == [(1, Decimal("2.50"), 4), (2, Decimal("4.00"), 2)]
+
+
+def recs(spark, *values):
+    return spark.createDataFrame(
+        [(u, m, Decimal(s), r, a, T0) for u, m, s, r, a in values], schemas.RECOMMENDATION)
+
+
+def test_recommendation_modes(spark):
+    old = recs(spark, (1, 10, "1.0", 1, "ALS"), (1, 11, "0.5", 2, "ALS"), (1, 12, "0.1", 1, "other"))
+    new = recs(spark, (1, 11, "2.0", 1, "ALS"))
+    merged = {(r["movieId"], r["algorithm"]): r["rank"] for r in upsert_recommendations(old, new, "merge").collect()}
+    assert merged == {(10, "ALS"): 1, (11, "ALS"): 1, (12, "other"): 1}
+    replaced = {(r["movieId"], r["algorithm"]) for r in upsert_recommendations(old, new).collect()}
+    assert replaced == {(11, "ALS"), (12, "other")}
+    with pytest.raises(ValueError):
+        upsert_recommendations(old, new, "other")
+
+
+def test_users_stay_as_they_are(spark):
+    user = spark.createDataFrame([(7, "named", "acc", None, 1, "ML", T0, T0)], schemas.USER)
+    ids = spark.createDataFrame([(1,), (2,), (2,), (0,)], "mlUserId bigint")
+    merged = {r["mlUserId"]: r for r in upsert_users(user, stage_users(ids), moment(NOW_TEXT)).collect()}
+    assert merged[1]["userName"] == "named" and merged[1]["updated_at"] == T0
+    assert (merged[0]["id"], merged[2]["id"]) == (8, 9)
+    assert merged[0]["userAccount"] == "ml_user_0" and merged[2]["userName"] == "MovieLens User 2"
+
+
+def test_ids_follow_the_last_one(spark):
+    target = spark.createDataFrame([(5, "a")], "id bigint, key string")
+    updates = spark.createDataFrame([("a",), ("c",), ("b",), ("c",)], "key string")
+    assert rows(assign_ids(updates, target, "key")) == [("a", None), ("b", 6), ("c", 7), ("c", 7)]
