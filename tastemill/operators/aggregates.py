@@ -32,10 +32,18 @@ def movie_stats(ratings: DataFrame) -> DataFrame:
     return finish_stats(stat_sums(ratings))
 
 
+def touched_sums(rating: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sums over all ratings of the movies in a batch.
+
+    The join comes after the aggregate, where a popular movie is one row. Spark moves it in front of
+    the aggregate by itself when the batch is small enough to be broadcast.
+    """
+    return stat_sums(rating).join(batch.select("movieId").distinct(), "movieId", "left_semi")
+
+
 def refresh_stats(rating: DataFrame, movie: DataFrame, batch: DataFrame, now=None) -> DataFrame:
     """Recount the movies touched by a batch from all their ratings; other movies stay unchanged."""
-    touched = batch.select("movieId").distinct()
-    return apply_movie_stats(movie, movie_stats(rating.join(touched, "movieId", "left_semi")), now)
+    return apply_movie_stats(movie, finish_stats(touched_sums(rating, batch)), now)
 
 
 def stat_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

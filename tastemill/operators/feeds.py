@@ -16,8 +16,8 @@ def merge_feeds(feeds: Sequence[tuple[str, DataFrame]], key: str = "id") -> Data
     ]
     union = reduce(DataFrame.unionByName, marked)
     rest = [name for name in union.columns if name not in (key, "priority")]
-    first = F.min_by(F.struct(*rest), F.struct("priority", *rest))
-    return union.groupBy(key).agg(first.alias("first")).select(key, "first.*")
+    first = F.min(F.struct("priority", *rest)).alias("first")
+    return union.groupBy(key).agg(first).select(key, *[f"first.{name}" for name in rest])
 
 
 def new_items(feed: DataFrame, movie: DataFrame, key: str = "id") -> DataFrame:

@@ -31,9 +31,10 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] =
     rest = [name for name in df.columns if name not in keys]
     if not rest:
         return df.select(*keys).distinct()
-    order = [*order_by, *(name for name in rest if name not in order_by)]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("last")).select(*keys, "last.*").select(*df.columns)
+    # One struct that sorts by the order first: the row travels once, and repeats are reduced map-side.
+    ordered = [*order_by, *(name for name in rest if name not in order_by)]
+    last = F.max(F.struct(*ordered)).alias("last")
+    return df.groupBy(*keys).agg(last).select(*keys, "last.*").select(*df.columns)
 
 
 def _same_key(keys: Sequence[str]) -> Column:
@@ -130,18 +131,19 @@ def upsert_ratings(rating: DataFrame, updates: DataFrame, now: Column | None = N
                   keep_newer=keep_newer, touch=touch, small_updates=small_updates)
 
 
-def upsert_recommendations(old: DataFrame, new: DataFrame, mode: str = "replace_algorithm") -> DataFrame:
+def upsert_recommendations(old: DataFrame, new: DataFrame, mode: str = "replace_algorithm",
+                           algorithm: str = fixed.ALGORITHM) -> DataFrame:
     """Publish a run of recommendations.
 
     ``merge`` updates score, rank and time by user, movie and algorithm and keeps rows the run does
-    not mention. ``replace_algorithm`` drops all earlier rows of the algorithms in the run, so ranks
-    stay gapless.
+    not mention. ``replace_algorithm`` drops all earlier rows of the run's algorithm, so ranks stay
+    gapless; it only filters the stored table.
     """
     if mode == "merge":
         return upsert(old, new, RECOMMENDATION_KEY, ["score", "rank", "created_at"], order_by=["created_at"])
     if mode != "replace_algorithm":
         raise ValueError(f"unknown mode {mode}")
-    kept = old.join(new.select("algorithm").distinct(), "algorithm", "left_anti").select(*old.columns)
+    kept = old.where(~F.col("algorithm").eqNullSafe(F.lit(algorithm)))
     fresh = latest_per_key(new.select(*old.columns), RECOMMENDATION_KEY, ["created_at"])
     return kept.unionByName(conform(fresh, old.schema))
 

@@ -20,7 +20,7 @@ from tastemill.plans.sql import (
     RATING_LOG,
     to_fixed_one,
 )
-from tastemill.session import work_dir
+from tastemill.session import enable_checkpoints, work_dir
 from tastemill.sources import files, warehouse
 
 CARD_SQL = "id, title, genres, year, posterUrl, avgRating, ratingCount"
@@ -251,7 +251,9 @@ overall AS (
 SELECT baseId, baseTitle, CAST(place AS INTEGER) AS place, id, title, genres, year, posterUrl, description, avgRating
 FROM (SELECT * FROM own UNION ALL BY NAME SELECT * FROM overall)""")
 def similar(spark, folder):
-    return plain(similar_items(warehouse.rated_movie(spark, folder), 10))
+    enable_checkpoints(spark)
+    movie = warehouse.rated_movie(spark, folder).checkpoint()  # read four times, counted once
+    return plain(similar_items(movie, 10))
 
 
 @query("flatten_items", f"WITH {ITEM} SELECT * FROM item")

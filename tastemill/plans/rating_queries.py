@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tastemill import schemas
 from tastemill.functions import numbers, times
-from tastemill.operators import aggregates, filters, integrity, joins, ranking, upsert
-from tastemill.operators.als import training_frame
+from tastemill.operators import aggregates, als, filters, integrity, joins, ranking, upsert
 from tastemill.plans.registry import plain, query
 from tastemill.plans.sql import (
     CUTOFF,
@@ -69,7 +68,7 @@ def training_cutoff(spark, folder):
 SELECT CAST(userId AS INTEGER) AS "user", CAST(movieId AS INTEGER) AS item, CAST(rating AS FLOAT) AS label
 FROM rating""")
 def frame(spark, folder):
-    return training_frame(warehouse.rating(spark, folder))
+    return als.training_frame(warehouse.rating(spark, folder))
 
 
 @query("rating_table", f"""WITH {RATINGS}
@@ -400,6 +399,15 @@ def replace_recommendations(spark, folder):
     return plain(upsert.upsert_recommendations(*two_runs(spark, folder)))
 
 
+@query("explode_recs", f"WITH {RECS} SELECT userId, movieId, score FROM recs")
+def explode_recs(spark, folder):
+    """The lists of all users as arrays, the way models return them, and back to rows."""
+    lists = warehouse.recommendation(spark, folder).groupBy(F.col("userId").alias("user")).agg(
+        F.collect_list(F.struct(F.col("movieId").alias("item"), F.col("score").alias("rating")))
+        .alias("recommendations"))
+    return als.explode_recs(lists)
+
+
 @query("recs_for", f"WITH {RECS} SELECT userId, movieId, score, rank FROM recs WHERE userId = 7 AND algorithm = 'ALS'")
 def recs_for(spark, folder):
     return plain(filters.recs_for(warehouse.recommendation(spark, folder), 7).select(

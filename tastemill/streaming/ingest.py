@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tastemill import schemas
 from tastemill.config import StreamConfig
 from tastemill.functions.times import epoch_seconds, event_time
-from tastemill.operators.aggregates import add_stats, finish_stats, stat_deltas, stat_sums
+from tastemill.operators.aggregates import add_stats, finish_stats, stat_deltas, touched_sums
 from tastemill.operators.filters import with_defaults
 from tastemill.operators.upsert import (
     RATING_KEY,
@@ -145,9 +145,7 @@ def ratings_batch(ratings: KeyedTable, sums: KeyedTable, rejects: str | None = N
                 current = sums.read(before=version, buckets=sums.touched(events.select("movieId").distinct()))
                 sums.write(add_stats(current, deltas), version)
             else:
-                movies = events.select("movieId").distinct()
-                all_of_them = ratings.read(before=version + 1).join(movies, "movieId", "left_semi")
-                sums.merge(stat_sums(all_of_them), version, ["sum10", "n"])
+                sums.merge(touched_sums(ratings.read(before=version + 1), events), version, ["sum10", "n"])
         finally:
             batch.unpersist()
 
