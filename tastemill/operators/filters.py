@@ -40,6 +40,11 @@ def recs_for(recs: DataFrame, user_id: int, algorithm: str = fixed.ALGORITHM) ->
     return recs.where((F.col("userId") == user_id) & (F.col("algorithm") == algorithm))
 
 
+def movie_by_id(movie: DataFrame, movie_id: int) -> DataFrame:
+    """One movie, or no row."""
+    return movie.where(F.col("id") == movie_id)
+
+
 def by_source(movie: DataFrame, source: str = fixed.SOURCE_CATALOGUE) -> DataFrame:
     return movie.where(F.col("source") == source)
 

@@ -34,12 +34,10 @@ def word_matches(firsts: DataFrame, words: DataFrame) -> DataFrame:
     Every word is spread into its parts and the parts are joined with ``=``, so the work grows with
     the vocabulary and not with its square.
     """
-    length = F.length("word")
-    parts = F.flatten(F.transform(
-        F.sequence(F.lit(1), length),
-        lambda start: F.transform(
-            F.sequence(F.lit(1), length - start + 1), lambda size: F.substring(F.col("word"), start, size))))
-    spread = words.select("word", F.explode(F.array_distinct(parts)).alias("part"))
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    sizes = F.sequence(F.lit(1), F.length("word") - F.col("start") + 1)
+    spread = starts.select("word", "start", F.explode(sizes).alias("size")).select(
+        "word", F.substring(F.col("word"), F.col("start"), F.col("size")).alias("part"))
     return (
         spread.select("word", folded(F.col("part")).alias("part"))
         .join(firsts.select("first", folded(F.col("first")).alias("part")), "part")

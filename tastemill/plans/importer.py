@@ -17,6 +17,7 @@ from tastemill.operators.upsert import (
     upsert_ratings,
     upsert_users,
 )
+from tastemill.session import enable_checkpoints
 
 
 @dataclass(frozen=True)
@@ -37,11 +38,12 @@ def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame,
 
     The two dimensions are checkpointed once: ratings are mapped through their ids several times.
     """
+    enable_checkpoints(user.sparkSession)
     moment = F.current_timestamp() if now is None else now
     movies, bad_movies = parse_or_reject(files["movies"], {"movieId": "bigint"})
     links, _ = parse_or_reject(files["links"], {"movieId": "bigint"})
     ratings, bad_ratings = parse_or_reject(
-        files["ratings"], {"userId": "bigint", "movieId": "bigint", "rating": "double", "timestamp": "bigint"})
+        files["ratings"], {"userId": "bigint", "movieId": "bigint", "rating": "decimal(2,1)", "timestamp": "bigint"})
 
     all_movies = upsert_catalogue(movie, stage_movies(movies, links), moment).checkpoint()
     ids = distinct_user_ids(files["ratings"]).withColumnRenamed("userId", "mlUserId")
