@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tastemill import schemas
 from tastemill.config import AlsConfig
 from tastemill.operators import als
-from tastemill.operators.factors import score_topn, similar_by_factors
+from tastemill.operators.factors import _norm, score_topn, similar_by_factors
 from tastemill.operators.numbering import dense_index
 from tastemill.operators.ranking import rank_recommendations
 from tastemill.operators.upsert import RECOMMENDATION_KEY
@@ -125,3 +125,11 @@ def test_dense_numbers(spark):
 
 def test_rmse(spark):
     assert als.rmse(als.training_frame(ratings(spark)), TINY).first()[0] > 0
+
+
+def test_lengths_are_exact_to_double_precision(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(50)]
+    found = {r["id"]: r["norm"] for r in vectors(spark, rows).select("id", _norm("features").alias("norm")).collect()}
+    for key, vector in rows:
+        assert abs(found[key] / np.linalg.norm(np.float64(np.float32(vector))) - 1) < 1e-14
