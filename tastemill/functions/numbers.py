@@ -36,9 +36,9 @@ def rescale_vote(vote: Column) -> Column:
 
 
 def half_star(value: Column) -> Column:
-    """Clamp to the rating range and move to the nearest half star, ties to the even half."""
+    """Clamp to the rating range and move to the nearest half star, ties to the even half; null stays null."""
     clamped = F.least(F.lit(fixed.RATING_MAX), F.greatest(F.lit(fixed.RATING_MIN), value))
-    return F.bround(clamped * 2) / 2
+    return F.when(value.isNotNull(), F.bround(clamped * 2) / 2)
 
 
 def mean_of_tenths(sum10: Column, n: Column) -> Column:

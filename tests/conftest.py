@@ -11,7 +11,8 @@ from tastemill.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tastemill-tests", "local[8]", 4, **{
+    session = build_session("tastemill-tests", "local[8]", 2, **{
+        "spark.default.parallelism": "2",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
