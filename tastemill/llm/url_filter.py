@@ -28,8 +28,9 @@ RULES = (
     ("block", "net/fr/"),
 )
 STRICT = ("adult", "casino", "escort", "hentai", "malware", "phishing", "porn", "porno", "sexcam", "spam", "viagra", "warez", "xxx")
-SOFT = ("bet", "bonus", "cheap", "crack", "drugs", "farm", "free", "gambling", "hot", "jackpot", "keygen",
-        "loan", "nude", "pharma", "pills", "poker", "sex", "torrent", "win")
+SOFT = ("ad", "ads", "bet", "bets", "bonus", "cheap", "crack", "drugs", "farm", "free", "gambling", "hot", "jackpot", "keygen",
+        "loan", "nude", "pharma", "pills", "poker", "sex", "torrent", "track",
+        "tracker", "win")
 SOFT_HITS = 2
 
 
