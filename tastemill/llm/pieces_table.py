@@ -8,7 +8,7 @@ position: chunk numbers of a text become lengths, cumulated offsets and one gath
 takes the chunks' decoded texts from the same table.
 
 The conditions are read from the model (``chunkable``); a model that breaks them is run on whole texts. The
-table is bounded: beyond ``TABLE_CHUNKS`` chunks or ``TABLE_CHARS`` characters it is started anew.
+table is bounded (``chunk_table``).
 
 Null and empty texts have only the begin and end ids and decode to the empty text.
 """
@@ -25,98 +25,67 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from tastemill.llm.chunk_table import ChunkTable
 from tastemill.llm.registry import query, table
-from tastemill.llm.textbytes import pieces, spread
+from tastemill.llm.textbytes import pieces
 
 MARK = "▁"
-TABLE_CHUNKS = 250_000
-TABLE_CHARS = 4_000_000
 
 
-class ChunkTable:
-    """Ids and decoded texts of the distinct chunks of a model."""
+class PieceTable:
+    """Ids and decoded texts by a SentencePiece model, from its distinct chunks."""
 
-    def __init__(self, model: str, max_chunks: int = TABLE_CHUNKS):
+    def __init__(self, model: str, **limits: int):
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.max_chunks = max_chunks
         names = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
         normal = [n for i, n in enumerate(names)
                   if not (self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_byte(i))]
         self.chunkable = self._chunkable(normal)
         # A line feed that no piece has is never merged with its neighbours.
         alone = "" if any("\n" in n for n in normal) else "\n"
-        self.pattern = re.compile(f"(?:[ {MARK}]+|{alone or '(?!)'})[^ {MARK}{alone}]*")
-        self._start()
+        self.find = re.compile(f"(?:[ {MARK}]+|{alone or '(?!)'})[^ {MARK}{alone}]*").findall
+        self.odd: set[str] = set()  # chunks that do not decode to themselves
+        self.chunks = ChunkTable(self._segment, **limits)
 
     def _chunkable(self, names: list[str]) -> bool:
         """Markers only begin pieces, text is not normalised, and a blank is put before every text and kept."""
         sp = self.processor
-        probe = "  a Å Å ﬁ́  b "
+        probe = "  a Å Å ﬁ́  b "
         return (not any(MARK in n.lstrip(MARK) or " " in n for n in names) and sp.decode(sp.encode(probe)) == probe
-                and sp.encode("a") == sp.piece_to_id(sp.encode("a", out_type=str)) and sp.encode("a", out_type=str)[0][0] == MARK
-                and sp.encode("\n", out_type=str)[0] == MARK)
-
-    def _start(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.texts: list[str] = []
-        self.chars = 0
-
-    def _segment(self, chunk: str) -> list[int]:
-        """Ids of a chunk in the middle of a text. The blank put before every text stands for the chunk's first."""
-        if chunk[0] == "\n":
-            return self.processor.encode(chunk)[1:]
-        if len(chunk) == 1:
-            return [self.processor.piece_to_id(MARK)]
-        return self.processor.encode(chunk[1:])
-
-    def _decoded(self, ids: list[int], chunk: str) -> str:
-        """Text of a chunk's ids; decoding takes off one leading blank, which only the text's first chunk has to lose."""
-        return self.processor.decode(ids) if chunk[0] == "\n" else " " + self.processor.decode(ids)
-
-    def number(self, chunk: str) -> int:
-        """Place of a chunk in the table, segmenting it if it is new."""
-        self.numbers[chunk] = len(self.ids)
-        ids = self._segment(chunk)
-        self.ids.append(ids)
-        self.texts.append(self._decoded(ids, chunk))
-        self.chars += len(chunk)
-        return len(self.ids) - 1
+                and sp.encode("a", out_type=str)[0][0] == MARK and sp.encode("\n", out_type=str)[0] == MARK)
+
+    def _segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks in the middle of a text. The blank put before every text stands for a chunk's first marker."""
+        found = self.processor.encode([c if c[0] == "\n" else c[1:] for c in chunks], num_threads=1)
+        marker = self.processor.piece_to_id(MARK)
+        found = [ids[1:] if c[0] == "\n" else ids or [marker] for c, ids in zip(chunks, found)]
+        for chunk, ids, decoded in zip(chunks, found, self.processor.decode(found, num_threads=1)):
+            if decoded != (chunk if chunk[0] == "\n" else chunk[1:]).replace(MARK, " "):
+                self.odd.add(chunk)
+        return found
+
+    def _decode(self, text: str, chunks: list[str]) -> str:
+        if self.odd.isdisjoint(chunks):
+            return text.replace(MARK, " ")
+        out = []
+        for chunk, ids in zip(chunks, self._segment(chunks)):
+            out.append(self.processor.decode(ids) if chunk[0] == "\n" else " " + self.processor.decode(ids))
+        return "".join(out)[1:]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids of each text without begin and end, and their decoded text."""
         if not self.chunkable:
             return [(np.array(ids := self.processor.encode(t), np.uint32), self.processor.decode(ids)) for t in texts]
-        if len(self.ids) > self.max_chunks or self.chars > TABLE_CHARS:
-            self._start()
-        find, numbers, number = self.pattern.findall, self.numbers, self.number
-        known = numbers.get
-        chunks, counts = [], []
-        for text in texts:
-            own = find(" " + text) if text else []
-            counts.append(len(own))
-            for chunk in own:
-                at = known(chunk)
-                chunks.append(number(chunk) if at is None else at)
-        used, where = np.unique(np.array(chunks, np.int64), return_inverse=True)
-        kept = [self.ids[k] for k in used]
-        lengths = np.fromiter(map(len, kept), np.int64, len(kept))
-        flat = np.fromiter((i for ids in kept for i in ids), np.uint32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        joined = flat[spread(starts[where], lengths[where])]
-        ends = np.concatenate([[0], np.cumsum(lengths[where])])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        out = []
-        for k in range(len(texts)):
-            a, b = bounds[k], bounds[k + 1]
-            text = "".join([self.texts[c] for c in chunks[a:b]])
-            out.append((joined[ends[a]:ends[b]], text[1:] if b > a else ""))
-        return out
+        own = [self.find(" " + text) if text else [] for text in texts]
+        if not self.chunks.numbers:
+            self.odd.clear()
+        ids, bounds, _ = self.chunks.join([c for chunks in own for c in chunks], [len(c) for c in own])
+        return [(ids[bounds[k]:bounds[k + 1]], self._decode(text, own[k])) for k, text in enumerate(texts)]
 
 
 @cache
-def _table(model: str) -> ChunkTable:
-    return ChunkTable(model)
+def _table(model: str) -> PieceTable:
+    return PieceTable(model)
 
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id") -> DataFrame:

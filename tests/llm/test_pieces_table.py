@@ -11,7 +11,7 @@ from tastemill.llm import pieces_table as pt
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-TABLE = pt.ChunkTable(MODEL)
+TABLE = pt.PieceTable(MODEL)
 TEXTS = ["", " ", "  ", "\n", "\n\n a", "a ", " a  b\nc\n d ", "▁a▁▁ b", "<s> </s> <unk>", "x\x00y\tz\r\n", "é漢字🙂‍", "　 \xa0",
          "word " * 2000, "y" * 20_000]
 
@@ -35,14 +35,14 @@ def test_any_text(texts):
 
 
 def test_a_full_table_starts_anew():
-    small = pt.ChunkTable(MODEL, max_chunks=3)
+    small = pt.PieceTable(MODEL, max_chunks=3)
     for _ in range(3):
         check(["a b c d e f", "g a\nh"], small)
-    assert len(small.ids) <= 10
+    assert len(small.chunks.numbers) <= 10
 
 
 def test_without_chunks():
-    whole = pt.ChunkTable(MODEL)
+    whole = pt.PieceTable(MODEL)
     whole.chunkable = False
     check(TEXTS[:8], whole)
 
