@@ -1,4 +1,4 @@
 """All queries of this folder: importing the modules registers them."""
 
-from tastemill.llm import chat, fingerprints, jaccard, language, packing, pieces_table, pii, url_filter  # noqa: F401
+from tastemill.llm import chat, fingerprints, jaccard, language, packing, pieces_table, pii, shards, url_filter  # noqa: F401
 from tastemill.llm.registry import CHECKS, QUERIES  # noqa: F401
