@@ -154,7 +154,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",),
              gap: float = AMBIGUOUS_GAP) -> DataFrame:
-    """``keep``, then ``lang_pred``, ``score`` and ``ambiguous`` (the next language is within ``gap``)."""
+    """``keep`` (none of these names), then ``lang_pred``, ``score`` and ``ambiguous`` (the next language is within ``gap``)."""
     fields = {f.name: f for f in docs.schema}
     kinds = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)
 
@@ -177,6 +177,25 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
         run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None, gap: float = AMBIGUOUS_GAP) -> DataFrame:
+    """The rows, with all their columns, whose texts have letters and one language that leads the next by ``gap``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and model:
+                named = pa.RecordBatch.from_arrays(batch.columns, names=[*(f"c{k}" for k in range(at)), "text", *(
+                    f"c{k}" for k in range(at + 1, batch.num_columns))])
+                for piece in pieces([named]):
+                    texts, keep = piece.column(at).to_pylist(), []
+                    for k in range(0, len(texts), 512):
+                        x, n_letters = features(texts[k:k + 512])
+                        keep.append((n_letters > 0) & (model.decode(x)[2] >= gap))
+                    yield pa.RecordBatch.from_arrays(piece.columns, schema=batch.schema).filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
