@@ -1,8 +1,9 @@
 """Ids of texts through a table of their distinct chunks.
 
 A text's ids are the ids of its chunks one after another. A new chunk is segmented once, and ids are joined
-back by position: chunk numbers become lengths, cumulated offsets and one gather. The table is bounded and
-started anew when full, so a worker's memory does not grow with the data.
+back by position: chunk numbers become lengths, cumulated offsets and one gather. The table is bounded, so a
+worker's memory does not grow with the data: once full it keeps the chunks it has (frequent ones come early),
+and later ones go into a second, smaller part that is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -39,6 +40,20 @@ class ChunkTable:
     def restart(self) -> None:
         self.numbers, self.chars, self.size = _Numbers(), 0, 0
         self.flat, self.bounds = np.zeros(1024, np.uint32), np.zeros(1, np.int64)
+        self.kept: tuple[int, int] | None = None  # chunks and characters of the part that stays
+        self.later: list[str] = []
+
+    def _make_room(self) -> None:
+        n, chars = len(self.numbers), self.chars
+        if self.kept is None:
+            if n >= self.max_chunks or chars >= TABLE_CHARS:
+                self.kept = n, chars
+        elif n > self.kept[0] + self.max_chunks // 2 or chars > self.kept[1] + TABLE_CHARS // 2:
+            for chunk in self.later:
+                del self.numbers[chunk]
+            self.later = []
+            self.bounds = self.bounds[:self.kept[0] + 1]
+            self.size, self.chars = int(self.bounds[-1]), self.kept[1]
 
     def _add(self, chunks: list[str]) -> None:
         found = self.segment(chunks)
@@ -50,11 +65,12 @@ class ChunkTable:
         self.bounds = np.concatenate([self.bounds, self.size + np.cumsum(lengths)])
         self.size += len(more)
         self.chars += sum(map(len, chunks))
+        if self.kept:
+            self.later += chunks
 
     def join(self, chunks: list[str], counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of texts of ``counts`` chunks each, where each text's begin and the last end, and the chunks' numbers."""
-        if len(self.numbers) > self.max_chunks or self.chars > TABLE_CHARS:
-            self.restart()
+        self._make_room()
         at = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
         if self.numbers.new:
             self._add(self.numbers.new)

@@ -37,40 +37,44 @@ from tastemill.session import work_dir
 CAPACITY = 2048
 SLACK = 4
 END_ID = 1
-# A word of Latin letters and the ASCII marks after it are split by the tokenizer in any case, and letters count
-# without case: such a chunk's ids are those of the two parts. The apostrophe begins suffixes, so it is no mark here.
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+# In texts of these signs alone the tokenizer's split is plain: runs of letters, single digits, runs of other signs.
+# The apostrophe is not among them because it begins suffixes, nor are letters that change when composed.
+_PLAIN = bytes([9, 10, 13, *range(32, 39), *range(40, 127), *range(0xC0, 0x100)])
+_LETTERS = "a-zà-öø-ÿß"
 
 
 class WordIds:
-    """Ids by a tokenizer that drops white space and never joins what stands on its two sides."""
+    """Ids by a tokenizer that drops white space and case and never joins what stands on the two sides of a blank."""
 
     def __init__(self, vocabulary: str, **limits: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.find = re.compile("[^ \n\t\r]+").findall
-        self.parts = ChunkTable(self._tokenize, **limits)
-        self.chunks = ChunkTable(self._segment, **limits)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = re.compile(f"[{_LETTERS}]+|[0-9]|[^ \n\t\r0-9{_LETTERS}]+").findall
+        self.chunks_of = re.compile("[^ \n\t\r]+").findall
+        self.chunks = ChunkTable(self._tokenize, **limits)
 
     def _tokenize(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _segment(self, chunks: list[str]) -> list[list[int]]:
-        parts, counts = [], []
-        for chunk in chunks:
-            found = _WORD_AND_MARKS(chunk)
-            own = [found[1].lower(), found[2]] if found else [chunk]
-            parts += own
-            counts.append(len(own))
-        ids, bounds, _ = self.parts.join(parts, counts)
-        ids = ids.tolist()
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    def _split(self, text: str) -> list[str]:
+        try:
+            plain = not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        if plain and not any(special in text for special in self.specials):
+            return self.words(text.lower())
+        return self.chunks_of(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin and the last end."""
-        own = [self.find(text) for text in texts]
-        ids, bounds, _ = self.chunks.join([c for chunks in own for c in chunks], [len(c) for c in own])
+        chunks, counts = [], []
+        for text in texts:
+            own = self._split(text)
+            counts.append(len(own))
+            chunks += own
+        ids, bounds, _ = self.chunks.join(chunks, counts)
         return ids, bounds
 
 

@@ -13,7 +13,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
 WORDS = packing.WordIds(VOCABULARY)
 TEXTS = ["", " ", "It's 12 a-b don't", "CAFÉ café ÀÉ!!", "x<|endoftext|>y <|startoftext|>", "漢字 İI ß ſ", "a b\x1cc d",
-         "'s 's's", "word's, (word) word_", "́ e", "ΑΣ ς Σ", "don''t!", "a" * 3000]
+         "'s 's's", "word's, (word) word_", "́ e", "ΑΣ ς Σ", "don''t!", "a" * 3000, "ÀÖ×÷ß12,ø.. aÿ|<|x <|endoftext|>", "x\x1fy", "ªº µ", "A\tB\rC"]
 
 
 def check(texts):
@@ -33,6 +33,14 @@ def test_ids_of_any_text(texts):
     check(texts)
 
 
+def test_full_table():
+    small = packing.WordIds(VOCABULARY, max_chunks=4)
+    for text in ("a b c d e f g", "h i j a", "k l m n o p a b", "q r s t u v a h") * 2:
+        ids, _ = small.encode([text])
+        assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert len(small.chunks.numbers) < 26
+
+
 def best_fill(counts, capacity):
     """All sums that hold the longest piece, by trying every piece."""
     items = [k for k, n in enumerate(counts) for _ in range(n)]
