@@ -369,9 +369,9 @@ def _holds(kind: str, text: str) -> bool:
     if kind == "email":
         return bool(_AT_DOT.fullmatch(text))
     if kind == "ip":
-        return _is_ip(text)
+        return bool(_IP.fullmatch(text)) and _is_ip(text)
     if kind == "card":
-        return _is_card(text)
+        return bool(_CARD.fullmatch(text)) and _is_card(text)
     if kind == "phone":
         return 9 <= digits <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text)) and bool(re.search("[ ().-]", text))
     return len(text) >= 14 and 3 <= digits < len(text) and text.isascii() and bool(re.fullmatch(r"[A-Za-z0-9_-]+", text))
