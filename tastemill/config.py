@@ -13,7 +13,8 @@ class AlsConfig:
     reg_param: float = 0.1
     max_iter: int = 10
     top_n: int = 30
-    max_user_id: int | None = 80000
+    max_user_id: int | None = None  # a bound trains on the users with the lowest ids only
+    blocks: int | None = None  # tasks of a training step; None: as many as shuffles have partitions
     checkpoint_interval: int = 5
     seed: int = 42
     algorithm: str = "ALS"
@@ -25,11 +26,11 @@ class AlsConfig:
 
 @dataclass(frozen=True)
 class JdbcConfig:
-    """Stride settings of the partitioned rating read."""
+    """Stride settings of the partitioned rating read; the bounds should be the least and greatest value."""
 
+    lower: int
+    upper: int
     column: str = "userId"
-    lower: int = 1
-    upper: int = 80000
     partitions: int = 40
     fetchsize: int = 10000
 

@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from tastemill import fixed
 
-EXACT_BELOW = 10.0
+WHOLE_FROM = float(1 << 52)  # doubles from here on have no places
 
 
 def round_stored(value: Column, places: int, tie: str = "even") -> Column:
-    """Round a non-negative double by its stored binary value, not by its printed digits.
+    """Round a double by its stored binary value, not by its printed digits.
 
     4.005 is stored a little below the tie and becomes 4.00, 4.025 a little above and becomes 4.03;
-    ``round`` works on the printed digits and gives 4.01 and 4.03. Real ties go to the even digit or up.
-    Only for up to two places; values of ten and more take the ordinary ``round``.
+    ``round`` works on the printed digits and gives 4.01 and 4.03. Real ties go to the even digit or up
+    (away from zero). For one or two places. The fraction of a double is exact, so it is rounded in
+    whole numbers and put back on the whole part; this is the same for values of any size.
     """
     power = 10**places
-    # A power of two that turns every bit of the value into a whole number, with room for the places.
-    unit = F.when(value >= 0.5, 1 << 53).when(value >= 0.0625, 1 << 56).otherwise(1 << 60)
-    scaled = (value * unit.cast("double")).cast("bigint") * F.lit(power)
+    size = F.abs(value)
+    entire = F.floor(size)
+    part = size - entire
+    # A power of two that turns every bit of the fraction into a whole number, with room for the places.
+    unit = F.when(size >= 0.5, 1 << 53).when(size >= 0.0625, 1 << 56).otherwise(1 << 60)
+    scaled = (part * unit.cast("double")).cast("bigint") * F.lit(power)
     whole = F.call_function("div", scaled, unit)
     rest = scaled - whole * unit
     half = F.shiftright(unit, 1)
     at_tie = F.lit(True) if tie == "up" else whole % 2 == 1
     up = (rest > half) | ((rest == half) & at_tie)
-    exact = (whole + up.cast("bigint")) / F.lit(float(power))
-    return F.when((value >= 0) & (value < EXACT_BELOW), exact).otherwise(F.round(value, places))
+    exact = (entire.cast("double") * power + whole + up.cast("bigint")) / F.lit(float(power))
+    return F.when(size >= WHOLE_FROM, value).otherwise(F.signum(value) * exact)
 
 
 def rescale_vote(vote: Column) -> Column:

@@ -73,16 +73,23 @@ def count_by_source(movie: DataFrame) -> DataFrame:
     return movie.groupBy("source").agg(F.count(F.lit(1)).alias("movies"))
 
 
-def catalogue_summary(movie: DataFrame, source: str = fixed.SOURCE_CATALOGUE) -> DataFrame:
-    """Size and rating range of the movies from one source."""
-    average = F.col("avgRating")
-    return by_source(movie, source).agg(
-        F.count(F.lit(1)).alias("total_movies"),
-        F.count(F.when(average > 0, 1)).alias("movies_with_rating"),
-        F.max(average).alias("max_rating"),
-        F.min(average).alias("min_rating"),
-        F.avg(average.cast("decimal(20,10)")).alias("avg_of_ratings"),
-    )
+def source_profile(movie: DataFrame) -> DataFrame:
+    """For every source: its movies, how many of them are rated and how often, and how good those are.
+
+    ``mean`` takes every rated movie alike, ``weighted`` every rating; both are null where nothing is rated.
+    """
+    given = F.coalesce(F.col("ratingCount"), F.lit(0)).cast("bigint")
+    rated = given > 0
+    stars = F.when(rated, F.col("avgRating").cast("decimal(20,10)"))
+    totals = movie.groupBy("source").agg(
+        F.count(F.lit(1)).alias("movies"), F.count_if(rated).alias("rated"), F.sum(given).alias("ratings"),
+        F.min(stars).alias("least"), F.max(stars).alias("most"), F.sum(stars).alias("stars"), F.sum(stars * given).alias("points"))
+    return totals.select(
+        "source", "movies", "rated", "ratings",
+        F.col("least").cast("double").alias("worst"),
+        F.col("most").cast("double").alias("best"),
+        F.try_divide(F.col("stars").cast("double"), "rated").alias("mean"),
+        F.try_divide(F.col("points").cast("double"), "ratings").alias("weighted"))
 
 
 def user_stats(users: DataFrame, ratings: DataFrame, recs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ DETAIL = ("id", "title", "originalTitle", "genres", "year", "director", "actors"
           "mlMovieId", "imdbId", "tmdbId", "source", "avgRating", "ratingCount", "created_at", "updated_at")
 
 
-def sample_users(ratings: DataFrame, max_user_id: int = 80000) -> DataFrame:
+def sample_users(ratings: DataFrame, max_user_id: int) -> DataFrame:
     """Ratings of the users with the lowest ids; the filter reaches the source."""
     return ratings.where(F.col("userId") <= max_user_id)
 
@@ -91,6 +91,7 @@ def check_ratings(ratings: DataFrame, movies: DataFrame, low: float = fixed.RATI
                   high: float = fixed.RATING_MAX) -> DataFrame:
     """Each rating with the ``reason`` it is refused, null for a good one."""
     known = movies.select(F.col("id").alias("movieId"), F.lit(True).alias("known")).dropDuplicates(["movieId"])
+    known = known.hint("rebalance")  # an exchange of its own, so that Spark can split a popular movie in the join
     value = F.col("rating").cast("double")
     reason = (
         F.when(F.col("movieId").isNull() | value.isNull(), "missing")

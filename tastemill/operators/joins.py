@@ -15,14 +15,26 @@ from tastemill.functions.text import blank_to_null, clean_genres, name_or_anonym
 from tastemill.operators.upsert import latest_per_key
 
 
+def own_exchange(dimension: DataFrame) -> DataFrame:
+    """A dimension that reaches a join through an exchange of its own.
+
+    An aggregate or join result may already be partitioned by the key; the join then needs no exchange on
+    that side, and without one on both sides Spark can not split a popular key.
+    """
+    return dimension.hint("rebalance")
+
+
 def stage_links(links: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
     """External ids per movie, blanks as null; of repeated ids the last by ``order_by`` counts."""
     clean = links.withColumns({"imdbId": blank_to_null(F.col("imdbId")), "tmdbId": blank_to_null(F.col("tmdbId"))})
     return latest_per_key(clean, ["movieId"], order_by).select("movieId", "imdbId", "tmdbId")
 
 
-def stage_movies(movies: DataFrame, links: DataFrame, link_order: tuple[str, ...] = ()) -> DataFrame:
-    """Catalogue rows with title and year apart and the external ids of their links, null where none."""
+def stage_movies(movies: DataFrame, links: DataFrame, link_order: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Catalogue rows with title and year apart and the external ids of their links, null where none.
+
+    ``keep`` names further columns of the movies that stay, such as their order of arrival.
+    """
     title, year = split_title_year(F.col("title"))
     return movies.join(stage_links(links, link_order), "movieId", "left").select(
         F.col("movieId").cast("bigint").alias("mlMovieId"),
@@ -33,6 +45,7 @@ def stage_movies(movies: DataFrame, links: DataFrame, link_order: tuple[str, ...
         "imdbId",
         "tmdbId",
         F.lit(fixed.SOURCE_CATALOGUE).alias("source"),
+        *(movies[name] for name in keep),
     )
 
 
@@ -75,7 +88,7 @@ def resolve_stream_ids(stream: DataFrame, dimension: DataFrame, external: str =
     Of several movies with one external id the lowest internal id counts. Works on streams too.
     """
     ids = dimension.where(F.col(external).isNotNull()).groupBy(external).agg(F.min("id").alias("movieId"))
-    return stream.join(ids, external, "inner")
+    return stream.join(own_exchange(ids), external, "inner")
 
 
 def user_ratings_view(ratings: DataFrame, movies: DataFrame) -> DataFrame:
@@ -106,7 +119,7 @@ def user_recs_view(recs: DataFrame, movies: DataFrame, algorithm: str = fixed.AL
         F.struct(
             F.col("id").cast("string").alias("id"), "title", "genres", "year", "posterUrl",
             or_zero(F.col("avgRating")).alias("avgRating"), "description").alias("movie"))
-    return recs.where(F.col("algorithm") == algorithm).join(movie, "movieId").select(
+    return recs.where(F.col("algorithm") == algorithm).join(own_exchange(movie), "movieId").select(
         "userId", "movieId", or_zero(F.col("score")).alias("score"), "rank",
         reason(F.col("algorithm")).alias("reason"), F.col("created_at").alias("updatedAt"), "movie")
 

@@ -39,6 +39,17 @@ def paginate(df: DataFrame, order: Sequence[Column], page: int = 1, size: int =
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(movie: DataFrame, rating: float | None = None, movie_id: int | None = None, size: int = 20) -> DataFrame:
+    """The page of best rated movies that follows a movie, given by its average and id; without them the first page.
+
+    The filter drops everything before the page, so a deep page costs no more than the first.
+    """
+    if rating is not None:
+        stars = F.coalesce(F.col("avgRating").cast("double"), F.lit(-1.0))
+        movie = movie.where((stars < rating) | ((stars == rating) & (F.col("id") > movie_id)))
+    return movie.orderBy(F.col("avgRating").desc_nulls_last(), F.col("id")).limit(size)
+
+
 def page_info(df: DataFrame, size: int = 20) -> DataFrame:
     """Number of rows and of pages."""
     total = F.count(F.lit(1))

@@ -12,6 +12,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemill import fixed
 from tastemill.functions.text import account_name, display_name
@@ -26,13 +27,63 @@ METADATA_UPDATES = ("title", "originalTitle", "genres", "year", "director", "act
 STAT_COLUMNS = ("avgRating", "ratingCount")
 
 
+_DIGITS = {"tinyint": 4, "smallint": 6, "int": 11, "bigint": 20}
+
+
+def _packing(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, int, int]] | None:
+    """Name, type, decimal places and digits of columns that fit together into one decimal of 38 digits, else None."""
+    out = []
+    for name in columns:
+        kind = df.schema[name].dataType
+        if isinstance(kind, T.DecimalType):
+            out.append((name, kind.simpleString(), kind.scale, kind.precision + 1))
+        elif kind.simpleString() in _DIGITS:
+            out.append((name, kind.simpleString(), 0, _DIGITS[kind.simpleString()]))
+        else:
+            return None
+    return out if sum(x[-1] for x in out) <= 38 else None
+
+
+def _middle(width: int) -> Column:
+    return F.lit(f"5{'0' * (width - 1)}").cast("decimal(38,0)")
+
+
+def _packed(columns: list[tuple[str, str, int, int]]) -> Column:
+    """The columns as one number that sorts like them, nulls first; text is put together digit by digit and is exact."""
+    digits = []
+    for name, _, scale, width in columns:
+        # A value moved to be positive: half of the range above, null as 0.
+        moved = (F.col(name).cast("decimal(38,0)") if not scale else (F.col(name) * F.lit(10**scale)).cast("decimal(38,0)")) + _middle(width)
+        digits.append(F.lpad(F.coalesce(moved.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string"), width, "0"))
+    return F.concat(*digits).cast("decimal(38,0)")
+
+
+def _unpacked(packed: Column, columns: list[tuple[str, str, int, int]]) -> list[Column]:
+    text, at, out = F.lpad(packed.cast("string"), sum(x[-1] for x in columns), "0"), 1, []
+    for name, kind, scale, width in columns:
+        moved = F.substring(text, at, width).cast("decimal(38,0)")
+        value = (moved - _middle(width)).cast("decimal(28,0)")
+        if scale:
+            value = value / F.lit(10**scale).cast("decimal(10,0)")
+        out.append(F.when(moved != 0, value.cast(kind)).alias(name))
+        at += width
+    return out
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the one that is last by ``order_by``, then by all other columns."""
+    """One row per key: the one that is last by ``order_by``, then by all other columns.
+
+    Repeats are reduced before the shuffle. Whole numbers and decimals that fit into 38 digits are reduced as
+    one number by a hash aggregate, which sorts nothing; other columns as one struct.
+    """
     rest = [name for name in df.columns if name not in keys]
     if not rest:
         return df.select(*keys).distinct()
-    # One struct that sorts by the order first: the row travels once, and repeats are reduced map-side.
     ordered = [*order_by, *(name for name in rest if name not in order_by)]
+    columns = _packing(df, ordered)
+    if columns:
+        last = df.groupBy(*keys).agg(F.max(_packed(columns)).alias("last"))
+        return last.select(*keys, *_unpacked(F.col("last"), columns)).select(*df.columns)
     last = F.max(F.struct(*ordered)).alias("last")
     return df.groupBy(*keys).agg(last).select(*keys, "last.*").select(*df.columns)
 
@@ -61,6 +112,8 @@ def upsert(
     its values changes, or every time with ``touch="always"``. ``keep_newer`` leaves a stored row
     alone that is later by ``order_by`` than the update, so batches may arrive in any order.
 
+    Updates without a complete key are each inserted: a unique key admits many missing ones.
+
     One full outer join by default. ``small_updates`` is for a batch known to be far smaller than the
     target: joins whose update side Spark can broadcast, so the target is not shuffled; if the batch
     turns out large the same joins run shuffled and the result is the same.
@@ -90,18 +143,32 @@ def upsert(
         return F.when(stored, old[name]).otherwise(F.coalesce(*first)) if first else old[name]
 
     columns = [merged(name).cast(kinds[name]).alias(name) for name in target.columns]
-    fresh = latest_per_key(updates, keys, order_by)
-    t = target.withColumn("stored", F.lit(True)).alias("t")
+    whole = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    fresh = latest_per_key(updates.where(whole), keys, order_by)
+    # Nothing matches a missing key: such rows stay and are added as they are, and are kept out of the joins,
+    # where they would all meet in one partition.
+    keyless = target.where(~whole)
+
+    def inserted(rows: DataFrame) -> DataFrame:
+        # Against an empty target the join is only a projection that fills its columns with nulls.
+        empty = target.withColumn("stored", F.lit(True)).alias("t").limit(0)
+        return rows.withColumn("given", F.lit(True)).alias("u").join(empty, _same_key(keys), "left").select(*columns)
+
+    loose = inserted(updates.where(~whole))
+    t = target.where(whole).withColumn("stored", F.lit(True)).alias("t")
+    if not update_cols and touch != "always":
+        # Stored rows can not change, so only new keys are looked for.
+        known = inserted(fresh.join(target.where(whole).select(*keys), list(keys), "left_anti"))
+        return target.unionByName(known).unionByName(loose)
     u = fresh.withColumn("given", F.lit(True)).alias("u")
     if not small_updates:
-        return t.join(u, _same_key(keys), "full_outer").select(*columns)
+        joined = t.join(u, _same_key(keys), "full_outer").select(*columns)
+        return joined.unionByName(keyless).unionByName(loose)
 
     kept = t.join(u, _same_key(keys), "left").select(*columns)
     hits = target.select(*keys).join(fresh.select(*keys), list(keys), "left_semi")
-    inserts = fresh.join(hits, list(keys), "left_anti").withColumn("given", F.lit(True)).alias("u")
-    # Against an empty target the join is only a projection that fills its columns with nulls.
-    added = inserts.join(t.limit(0), _same_key(keys), "left").select(*columns)
-    return kept.unionByName(added)
+    added = inserted(fresh.join(hits, list(keys), "left_anti"))
+    return kept.unionByName(added).unionByName(keyless).unionByName(loose)
 
 
 def assign_ids(updates: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -112,9 +179,13 @@ def assign_ids(updates: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return updates.drop("id").join(numbered, key, "left")
 
 
-def upsert_catalogue(movie: DataFrame, staged: DataFrame, now: Column | None = None) -> DataFrame:
-    """Catalogue rows by ``mlMovieId``; the original title, source and statistics of known movies stay."""
-    return upsert(movie, assign_ids(staged, movie, "mlMovieId"), ["mlMovieId"], CATALOGUE_UPDATES, now=now,
+def upsert_catalogue(movie: DataFrame, staged: DataFrame, now: Column | None = None,
+                     order_by: Sequence[str] = ()) -> DataFrame:
+    """Catalogue rows by ``mlMovieId``; the original title, source and statistics of known movies stay.
+
+    Of repeated ids the last by ``order_by`` counts (the line number of a file, say).
+    """
+    return upsert(movie, assign_ids(staged, movie, "mlMovieId"), ["mlMovieId"], CATALOGUE_UPDATES, order_by=order_by, now=now,
                   defaults={"avgRating": F.lit(0), "ratingCount": F.lit(0)})
 
 
@@ -158,10 +229,13 @@ def stage_metadata(batch: DataFrame, movie: DataFrame) -> DataFrame:
 
 
 def upsert_metadata(movie: DataFrame, batch: DataFrame, now: Column | None = None, overwrite_stats: bool = True,
-                    small_updates: bool = False) -> DataFrame:
-    """Item metadata by ``tmdbId``; with ``overwrite_stats`` average and count come from the item too."""
-    return upsert(movie, stage_metadata(batch, movie), ["tmdbId"], metadata_columns(overwrite_stats), now=now,
-                  touch="always", small_updates=small_updates)
+                    small_updates: bool = False, order_by: Sequence[str] = ()) -> DataFrame:
+    """Item metadata by ``tmdbId``; with ``overwrite_stats`` average and count come from the item too.
+
+    Of several events of one item the last by ``order_by`` counts.
+    """
+    return upsert(movie, stage_metadata(batch, movie), ["tmdbId"], metadata_columns(overwrite_stats), order_by=order_by,
+                  now=now, touch="always", small_updates=small_updates)
 
 
 def stage_users(ids: DataFrame, id_col: str = "mlUserId") -> DataFrame:

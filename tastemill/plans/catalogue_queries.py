@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill import schemas
@@ -9,6 +12,7 @@ from tastemill.functions import numbers, text, times
 from tastemill.functions.documents import flatten_items
 from tastemill.operators import aggregates, feeds, filters, integrity, joins, ranking, upsert
 from tastemill.operators.similar import similar_items
+from tastemill.plans.importer import import_files
 from tastemill.plans.registry import plain, query
 from tastemill.plans.sql import (
     ITEM,
@@ -51,12 +55,20 @@ def movies_with_ratings(spark, folder):
 
 
 @query("catalogue_summary", f"""WITH {RATED_MOVIE}
-SELECT count(*) AS total_movies, count(CASE WHEN avgRating > 0 THEN 1 END) AS movies_with_rating,
-       max(avgRating) AS max_rating, min(avgRating) AS min_rating, round(avg(avgRating), 6) AS avg_of_ratings
-FROM rated WHERE source = 'ML'""")
+SELECT source, count(*) AS movies, count(*) FILTER (ratingCount > 0) AS rated, CAST(sum(ratingCount) AS BIGINT) AS ratings,
+       min(avgRating) FILTER (ratingCount > 0) AS worst, max(avgRating) FILTER (ratingCount > 0) AS best,
+       round(avg(avgRating) FILTER (ratingCount > 0), 6) AS mean,
+       round(sum(avgRating * ratingCount) / nullif(sum(ratingCount), 0), 6) AS weighted
+FROM rated GROUP BY source""")
 def catalogue_summary(spark, folder):
-    summary = plain(aggregates.catalogue_summary(warehouse.rated_movie(spark, folder)))
-    return summary.withColumn("avg_of_ratings", F.round("avg_of_ratings", 6))
+    summary = aggregates.source_profile(warehouse.rated_movie(spark, folder))
+    return summary.withColumns({"mean": F.round("mean", 6), "weighted": F.round("weighted", 6)})
+
+
+@query("list_movies_after", f"""WITH {RATED_MOVIE}
+SELECT id, title, avgRating FROM rated WHERE avgRating < 3 OR (avgRating = 3 AND id > 100) ORDER BY avgRating DESC, id LIMIT 20""")
+def list_movies_after(spark, folder):
+    return plain(ranking.page_after(warehouse.rated_movie(spark, folder), 3.0, 100).select("id", "title", "avgRating"))
 
 
 @query("count_by_source", f"WITH {MOVIE} SELECT source, count(*) AS movies FROM movie GROUP BY source")
@@ -206,6 +218,60 @@ def csv_catalogue(spark, folder):
     return joins.stage_movies(parsed, links)
 
 
+FIRST_LOAD = f"""{RATING_LOG},
+lines AS (SELECT *, CASE WHEN seq % 10 = 7 THEN NULL ELSE rating END AS given FROM rating_log),
+rating AS (
+  SELECT * FROM lines WHERE given IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY userId, movieId ORDER BY timestamp DESC, given DESC) = 1)"""
+
+
+@query("first_load", f"""WITH {FIRST_LOAD}
+SELECT 'user' AS part, count(DISTINCT userId) AS n, CAST(sum(DISTINCT userId) AS BIGINT) AS total FROM lines
+UNION ALL SELECT 'movie', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part
+UNION ALL SELECT 'title', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT 'link', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part WHERE p_size < 46 AND p_size % 3 = 0
+UNION ALL SELECT 'rating', count(*), CAST(sum(CAST(given * 10 AS BIGINT)) AS BIGINT) FROM rating
+UNION ALL SELECT 'counted', count(DISTINCT movieId), count(*) FROM rating
+UNION ALL SELECT 'rejected', count(*), CAST(sum(userId) AS BIGINT) FROM lines WHERE given IS NULL
+UNION ALL SELECT 'unmapped', CAST(0 AS BIGINT), CAST(0 AS BIGINT)""")
+def first_load(spark, folder):
+    """All three files written and loaded into empty tables. Movies of even size and links of every third size come in
+    two lines, of which the later has the smaller text and counts; one line of seven has no usable rating."""
+    base = work_dir(spark, "load")
+    part = warehouse.table(spark, folder, "part").select(F.col("p_partkey").alias("movieId"), "p_size")
+
+    def twice(df, often, columns):
+        both = df.join(part, "movieId").withColumn("turn", F.explode(F.when(often, F.array(F.lit(0), F.lit(1))).otherwise(
+            F.array(F.lit(1)))))
+        later = {name: F.when((F.col("turn") == 1) & often, F.concat(F.lit("!"), name)).otherwise(F.col(name)) for name in columns}
+        # Both lines of an id are in one file, the second after the first.
+        return both.withColumns(later).repartitionByRange("movieId").sortWithinPartitions("movieId", "turn").drop("turn", "p_size")
+
+    ratings = warehouse.rating_log(spark, folder).select(
+        "userId", "movieId", F.when(F.col("seq") % 10 == 7, "none").otherwise(F.col("rating").cast("string")).alias("rating"),
+        "timestamp", "seq")
+    written = {"movies": twice(warehouse.raw_movies(spark, folder), F.col("p_size") % 2 == 0, ["title"]),
+               "links": twice(warehouse.raw_links(spark, folder), F.col("p_size") % 3 == 0, ["imdbId"]),
+               "ratings": ratings.drop("seq")}
+    for name, df in written.items():
+        df.write.csv(f"{base}/{name}.csv", header=True, quote='"', escape='"')
+    tables = [spark.createDataFrame([], schema) for schema in (schemas.USER, schemas.MOVIE, schemas.RATING)]
+    loaded = import_files(files.read_movielens(spark, base), *tables, now=warehouse.moment(warehouse.NOW))
+
+    def summary(df, part, total):
+        return df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(total), F.lit(0)).cast("bigint").alias("total"))
+
+    movie = loaded.movie
+    return reduce(DataFrame.unionByName, [
+        summary(loaded.user, "user", F.col("mlUserId")), summary(movie, "movie", F.col("mlMovieId")),
+        summary(movie.where("startswith(title, '!')"), "title", F.col("mlMovieId")),
+        summary(movie.where("startswith(imdbId, '!')"), "link", F.col("mlMovieId")),
+        summary(loaded.rating, "rating", F.col("rating") * 10),
+        summary(movie.where("ratingCount > 0"), "counted", F.col("ratingCount")),
+        summary(loaded.rejected_ratings, "rejected", F.col("userId").cast("bigint")),
+        summary(loaded.unmapped_ratings, "unmapped", F.lit(0))])
+
+
 @query("upsert_catalogue", f"""WITH {MOVIE}, {STAGED},
 t AS (SELECT * FROM movie WHERE p_size <= 40),
 fresh AS (

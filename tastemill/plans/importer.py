@@ -36,6 +36,8 @@ def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame,
                  now: Column | None = None) -> Imported:
     """Merge the three files into the tables. Of a rating given twice the later one counts.
 
+    If movies and links have a column ``arrival``, of lines with one id the last counts.
+
     The two dimensions are checkpointed once: ratings are mapped through their ids several times.
     """
     enable_checkpoints(user.sparkSession)
@@ -45,7 +47,9 @@ def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame,
     ratings, bad_ratings = parse_or_reject(
         files["ratings"], {"userId": "bigint", "movieId": "bigint", "rating": "decimal(2,1)", "timestamp": "bigint"})
 
-    all_movies = upsert_catalogue(movie, stage_movies(movies, links), moment).checkpoint()
+    order = {name: ("arrival",) if "arrival" in files[name].columns else () for name in ("movies", "links")}
+    staged = stage_movies(movies, links, order["links"], order["movies"])
+    all_movies = upsert_catalogue(movie, staged, moment, order["movies"]).checkpoint()
     ids = distinct_user_ids(files["ratings"]).withColumnRenamed("userId", "mlUserId")
     all_users = upsert_users(user, stage_users(ids), moment).checkpoint()
 

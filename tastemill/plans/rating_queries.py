@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill import schemas
@@ -228,6 +231,21 @@ def orphans(spark, folder):
     return found.select("userId", "movieId", "timestamp")
 
 
+@query("orphans_of_all_keys", f"""WITH {RECS}, {KNOWN_MOVIES}, known_users AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey > 1)
+SELECT 'rating.userId' AS key, count(*) AS rows FROM rating WHERE userId NOT IN (SELECT id FROM known_users)
+UNION ALL SELECT 'rating.movieId', count(*) FROM rating WHERE movieId NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'recommendation.userId', count(*) FROM recs WHERE userId NOT IN (SELECT id FROM known_users)
+UNION ALL SELECT 'recommendation.movieId', count(*) FROM recs WHERE movieId NOT IN (SELECT id FROM known)""")
+def orphans_of_all_keys(spark, folder):
+    """Rows that each of the four references leaves without a parent."""
+    users = warehouse.table(spark, folder, "customer").where("c_nationkey > 1").select(F.col("c_custkey").alias("id"))
+    parents = {"userId": users, "movieId": known_movies(spark, folder)}
+    children = {"rating": warehouse.rating(spark, folder), "recommendation": warehouse.recommendation(spark, folder)}
+    counts = [integrity.orphans(child, parent, fk).agg(F.lit(f"{name}.{fk}").alias("key"), F.count(F.lit(1)).alias("rows"))
+              for name, child in children.items() for fk, parent in parents.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("duplicate_keys", f"""WITH {RATING_LOG}
 SELECT userId, movieId, count(*) AS copies FROM rating_log GROUP BY userId, movieId HAVING count(*) > 1""")
 def duplicate_keys(spark, folder):

@@ -58,6 +58,24 @@ def stream_latest_ratings(spark, folder):
     return plain(ingest.rating_store(spark, base).read().select(*EVENT_COLUMNS))
 
 
+@query("stream_two_checkpoints", f"""WITH {STREAM_RATING}
+SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating, timestamp FROM stream_rating""")
+def stream_two_checkpoints(spark, folder):
+    """Two queries that both count their batches from 0, one after the other over one store, which is compacted in
+    between; then each is started again and finds nothing new."""
+    base = work_dir(spark, "ratings")
+    store = ingest.rating_store(spark, base)
+    messages = warehouse.rating_messages(warehouse.stream_table(spark, folder, "events"))
+    parsed = parse_message(messages, schemas.RATING_EVENT)
+    for part in (0, 1, 0, 1):
+        half = parsed.where(F.coalesce(F.pmod("userId", F.lit(2)), F.lit(0)) == part)
+        writer = ingest.ratings_batch(store, ingest.sums_store(spark, base), f"{base}/rejects", now=warehouse.moment(warehouse.NOW))
+        ingest.start_ingest(ingest.rating_stream(half), writer, ingest.checkpoint_dir(f"{base}/checkpoints", f"half-{part}"),
+                            trigger=None).awaitTermination()
+        store.compact("compacted")
+    return plain(store.read().select(*EVENT_COLUMNS))
+
+
 @query("stream_rejects", f"WITH {EVENT} SELECT 'error ' || event_id AS raw FROM event WHERE event_type = 'error'")
 def stream_rejects(spark, folder):
     return spark.read.text(f"{run_ratings(spark, folder)}/rejects").select(F.col("value").alias("raw"))

@@ -16,9 +16,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', enforceSchema=False)
 
 
+def with_arrival(files: DataFrame) -> DataFrame:
+    """Where each row stands in its files, as a struct that sorts like the lines do: file, block of the file, row."""
+    return files.withColumn("arrival", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
+
+
 def read_movielens(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The catalogue, link and rating files of one folder (``<name>.csv``, a file or a folder of parts)."""
-    return {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in CSV_SCHEMAS.items()}
+    """The catalogue, link and rating files of one folder (``<name>.csv``, a file or a folder of parts).
+
+    Movies and links keep their order of arrival: of lines with one id the last counts.
+    """
+    files = {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in CSV_SCHEMAS.items()}
+    return files | {name: with_arrival(files[name]) for name in ("movies", "links")}
 
 
 def read_item_json(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tastemill.config import JdbcConfig
 RATING_QUERY = "SELECT userId, movieId, rating FROM rating"
 
 
-def read_jdbc_partitioned(spark: SparkSession, url: str, query: str = RATING_QUERY, cfg: JdbcConfig = JdbcConfig(),
+def read_jdbc_partitioned(spark: SparkSession, url: str, cfg: JdbcConfig, query: str = RATING_QUERY,
                           options: dict[str, str] | None = None) -> DataFrame:
     """Read ``query`` in ``cfg.partitions`` ranges of ``cfg.column``.
 

@@ -1,11 +1,12 @@
-"""Keyed tables kept as Parquet, one folder per version.
+"""Keyed tables kept as Parquet, one folder per commit.
 
-    <path>/v=<number>/bucket=<hash of key>/part-*.parquet
+    <path>/v=<number>.<name of the commit>/bucket=<hash of key>/part-*.parquet
 
-A version holds whole buckets, and only those its updates fall into. Spark's ``_SUCCESS`` file makes
-it count; a version that was cut short is written again, and one that is complete is not. So a
-replayed micro-batch changes nothing, and readers never see half a write. Catalogs with row-level
-updates take the same batches through ``merge_into``.
+A commit has a name that its writer chooses (a stream: query and micro-batch) and the next free number. It
+holds whole buckets, and only those its updates fall into. Spark's ``_SUCCESS`` file makes it count; a commit
+that was cut short is written again, and a name that is there already is not written twice. So a replayed
+micro-batch changes nothing, while another query, or a new checkpoint, has names of its own and loses nothing.
+Readers never see half a write. Catalogs with row-level updates take the same batches through ``merge_into``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ COMMITTED = "_SUCCESS"
 
 
 class KeyedTable:
-    """A table with a unique key, a fixed number of buckets and numbered versions."""
+    """A table with a unique key, a fixed number of buckets, numbered commits and one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 8,
                  spread: str | None = None):
@@ -33,22 +34,29 @@ class KeyedTable:
         self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, folder: str, prefix: str) -> list[int]:
+    def _names(self, folder: str, prefix: str) -> list[str]:
         where = self._fs_path(folder)
         if not self._fs.exists(where):
             return []
         names = [status.getPath().getName() for status in self._fs.listStatus(where)]
-        return sorted(int(name[len(prefix):]) for name in names if name.startswith(prefix))
+        return [name[len(prefix):] for name in names if name.startswith(prefix)]
 
-    def _version_path(self, version: int) -> str:
-        return f"{self.path}/v={version}"
+    def _folder(self, number: int, name: str) -> str:
+        return f"{self.path}/v={number}.{name}"
 
-    def versions(self) -> list[int]:
-        """Complete versions in rising order."""
-        return [v for v in self._names(self.path, "v=") if self.committed(v)]
+    def _done(self, folder: str) -> bool:
+        return self._fs.exists(self._fs_path(f"{folder}/{COMMITTED}"))
 
-    def committed(self, version: int) -> bool:
-        return self._fs.exists(self._fs_path(f"{self._version_path(version)}/{COMMITTED}"))
+    def _all(self) -> list[tuple[int, str]]:
+        """Number and name of all commits, complete or not, in order."""
+        return sorted((int(number), commit) for number, _, commit in (x.partition(".") for x in self._names(self.path, "v=")))
+
+    def commits(self) -> list[str]:
+        """Names of complete commits, the oldest first."""
+        return [name for number, name in self._all() if self._done(self._folder(number, name))]
+
+    def committed(self, commit: str | int) -> bool:
+        return str(commit) in self.commits()
 
     def bucket(self) -> Column:
         keys = self.keys
@@ -56,58 +64,65 @@ class KeyedTable:
             keys = [F.coalesce(F.col(key).cast("string"), F.col(self.spread).cast("string")) for key in keys]
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
 
-    def _bucket_paths(self, before: int | None, wanted: Sequence[int] | None) -> list[str]:
+    def _bucket_paths(self, before: str | int | None, wanted: Sequence[int] | None) -> list[str]:
         """Newest folder of every bucket; looks back only until all are found."""
         missing = set(range(self.buckets) if wanted is None else wanted)
+        known = self._all()
+        end = next((number for number, name in known if name == str(before)), None) if before is not None else None
         paths = []
-        for version in reversed(self.versions()):
+        for number, name in reversed(known):
             if not missing:
                 break
-            if before is not None and version >= before:
+            folder = self._folder(number, name)
+            if (end is not None and number >= end) or not self._done(folder):
                 continue
-            for found in missing.intersection(self._names(self._version_path(version), "bucket=")):
-                paths.append(f"{self._version_path(version)}/bucket={found}")
+            for found in missing.intersection(map(int, self._names(folder, "bucket="))):
+                paths.append(f"{folder}/bucket={found}")
                 missing.discard(found)
         return paths
 
-    def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
-        """The table now, or as it was before a version; ``buckets`` leaves the other buckets unread."""
+    def read(self, before: str | int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The table now, or as it was before a commit; ``buckets`` leaves the other buckets unread."""
         paths = self._bucket_paths(before, buckets)
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        """Store rows as a version unless it is complete already; their buckets are replaced."""
-        if self.committed(version):
+    def write(self, df: DataFrame, commit: str | int) -> None:
+        """Store rows as a commit unless it is complete already; their buckets are replaced."""
+        known = self._all()
+        number = next((number for number, name in known if name == str(commit)), known[-1][0] + 1 if known else 0)
+        folder = self._folder(number, str(commit))
+        if self._done(folder):
             return
         rows = conform(df, self.schema).withColumn("bucket", self.bucket())
         # Rebalancing gathers each bucket and splits it again where it is large.
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            self._version_path(version))
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     def touched(self, updates: DataFrame) -> list[int]:
         """Buckets the updates fall into; at most as many numbers as there are buckets."""
         return [row[0] for row in updates.select(self.bucket().alias("b")).distinct().collect()]
 
-    def merge(self, updates: DataFrame, version: int, update_cols: Sequence[str], **how) -> None:
+    def merge(self, updates: DataFrame, commit: str | int, update_cols: Sequence[str], **how) -> None:
         """Insert or update by key, rewriting only the buckets with updates."""
-        if self.committed(version):
+        if self.committed(commit):
             return
-        current = self.read(before=version, buckets=self.touched(updates))
-        self.write(upsert(current, updates, self.keys, update_cols, **how), version)
+        current = self.read(before=commit, buckets=self.touched(updates))
+        self.write(upsert(current, updates, self.keys, update_cols, **how), commit)
+
+    def compact(self, commit: str) -> None:
+        """Write all buckets into one commit, for quicker reading."""
+        self.write(self.read(before=commit), commit)
 
     def expire(self, keep: int = 2) -> None:
-        """Delete versions no bucket is read from any more, but for the last ``keep``."""
+        """Delete the data of commits no bucket is read from any more, but for the last ``keep``; names stay known."""
         used = self._bucket_paths(None, None)
-        for version in self.versions()[:-keep]:
-            folder = self._version_path(version)
+        done = [(number, name) for number, name in self._all() if self._done(self._folder(number, name))]
+        for number, name in done[:-keep]:
+            folder = self._folder(number, name)
             if not any(path.startswith(folder + "/") for path in used):
-                self._fs.delete(self._fs_path(folder), True)
-
-    def compact(self, version: int) -> None:
-        """Write all buckets into one version."""
-        self.write(self.read(before=version), version)
+                for bucket in self._names(folder, "bucket="):
+                    self._fs.delete(self._fs_path(f"{folder}/bucket={bucket}"), True)
 
 
 def merge_into(table: str, updates: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> None:

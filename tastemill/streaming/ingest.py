@@ -1,7 +1,8 @@
 """The rating stream and the item stream.
 
-Both end in ``foreachBatch`` and write one version of a keyed table per micro-batch, numbered by the
-batch, so a batch that is replayed after a failure changes nothing. Each table has one writer: the
+Both end in ``foreachBatch`` and make one commit to a keyed table per micro-batch, named after the query and
+the batch, so a batch that is replayed after a failure changes nothing, and a query with a new checkpoint,
+which counts its batches from 0 again, is a writer of its own. Each table has one writer: the
 rating stream keeps ratings and their sums, the item stream keeps movies; ``current_movies`` puts the
 two together.
 """
@@ -30,7 +31,8 @@ from tastemill.operators.upsert import (
 )
 from tastemill.sources.store import KeyedTable
 
-FIRST_BATCH_VERSION = 1  # version 0 is what a table was loaded with before the stream began
+# Columns that tell when an item event arrived, as far as a source has them; the later event of an item counts.
+ARRIVAL_ORDER = ("eventTime", "partition", "offset", "arrival")
 BatchFn = Callable[[DataFrame, int], None]
 
 
@@ -108,10 +110,16 @@ def reject_stream(parsed: DataFrame, kind: str) -> DataFrame:
     return parsed.where(~usable).select("raw")
 
 
-def _split(batch: DataFrame, usable: Column, rejects: str | None, batch_id: int) -> DataFrame:
+def commit_name(batch: DataFrame, batch_id: int) -> str:
+    """Query and number of a micro-batch; the query's id lives in its checkpoint, so a restart keeps it."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return f"{query or 'batch'}-{batch_id}"
+
+
+def _split(batch: DataFrame, usable: Column, rejects: str | None, commit: str) -> DataFrame:
     """Usable rows; the text of the others goes to a folder of the batch."""
     if rejects:
-        batch.where(~usable).select("raw").write.mode("overwrite").text(f"{rejects}/batch={batch_id}")
+        batch.where(~usable).select("raw").write.mode("overwrite").text(f"{rejects}/batch={commit}")
     return batch.where(usable)
 
 
@@ -126,26 +134,26 @@ def ratings_batch(ratings: KeyedTable, sums: KeyedTable, rejects: str | None = N
         raise ValueError(f"unknown stats mode {stats}")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = FIRST_BATCH_VERSION + batch_id
+        commit = commit_name(batch, batch_id)
         batch.persist()
         try:
-            good = _split(batch, _usable_rating(), rejects, batch_id)
+            good = _split(batch, _usable_rating(), rejects, commit)
             events = good.select("userId", "movieId", F.col("rating").cast("decimal(2,1)").alias("rating"),
                                  epoch_seconds(F.col("timestamp")).alias("timestamp"))
-            ratings.merge(events, version, ["rating", "timestamp"], order_by=RATING_ORDER, keep_newer=True,
+            ratings.merge(events, commit, ["rating", "timestamp"], order_by=RATING_ORDER, keep_newer=True,
                           touch="always", now=F.current_timestamp() if now is None else now)
-            if sums.committed(version):
+            if sums.committed(commit):
                 return
             if stats == "delta":
                 keys = events.select(*RATING_KEY).distinct()
                 parts = ratings.touched(events)
-                before = ratings.read(before=version, buckets=parts).join(keys, list(RATING_KEY), "left_semi")
-                after = ratings.read(before=version + 1, buckets=parts).join(keys, list(RATING_KEY), "left_semi")
+                before = ratings.read(before=commit, buckets=parts).join(keys, list(RATING_KEY), "left_semi")
+                after = ratings.read(buckets=parts).join(keys, list(RATING_KEY), "left_semi")
                 deltas = stat_deltas(before, after)
-                current = sums.read(before=version, buckets=sums.touched(events.select("movieId").distinct()))
-                sums.write(add_stats(current, deltas), version)
+                current = sums.read(before=commit, buckets=sums.touched(events.select("movieId").distinct()))
+                sums.write(add_stats(current, deltas), commit)
             else:
-                sums.merge(touched_sums(ratings.read(before=version + 1), events), version, ["sum10", "n"])
+                sums.merge(touched_sums(ratings.read(), events), commit, ["sum10", "n"])
         finally:
             batch.unpersist()
 
@@ -157,15 +165,16 @@ def items_batch(movies: KeyedTable, rejects: str | None = None, overwrite_stats:
     """Check a batch of item events, fill in defaults and merge them by external id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = FIRST_BATCH_VERSION + batch_id
-        if movies.committed(version):
+        commit = commit_name(batch, batch_id)
+        if movies.committed(commit):
             return
         batch.persist()
         try:
-            good = _split(batch, _usable_item(), rejects, batch_id)
-            events = with_defaults(good, {"avgRating": 0.0, "ratingCount": 0}).select(*schemas.ITEM_EVENT.names)
-            staged = stage_metadata(events, movies.read(before=version))
-            movies.merge(staged, version, metadata_columns(overwrite_stats), touch="always",
+            good = _split(batch, _usable_item(), rejects, commit)
+            order = [name for name in ARRIVAL_ORDER if name in good.columns]
+            events = with_defaults(good, {"avgRating": 0.0, "ratingCount": 0}).select(*schemas.ITEM_EVENT.names, *order)
+            staged = stage_metadata(events, movies.read(before=commit))
+            movies.merge(staged, commit, metadata_columns(overwrite_stats), order_by=order, touch="always",
                          now=F.current_timestamp() if now is None else now)
         finally:
             batch.unpersist()
@@ -173,6 +182,15 @@ def items_batch(movies: KeyedTable, rejects: str | None = None, overwrite_stats:
     return run
 
 
+def rejects_batch(folder: str) -> BatchFn:
+    """Keep the text of rejected messages, a folder for each batch; a replayed batch writes its folder again."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.select("raw").write.mode("overwrite").text(f"{folder}/batch={commit_name(batch, batch_id)}")
+
+    return run
+
+
 def counts_store(spark: SparkSession, path: str, buckets: int = 8) -> KeyedTable:
     return KeyedTable(spark, path, schemas.TREND_COUNTS, ["start", "movieId"], buckets)
 
@@ -183,7 +201,7 @@ def counts_batch(counts: KeyedTable) -> BatchFn:
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            counts.merge(batch, FIRST_BATCH_VERSION + batch_id, ["n"])
+            counts.merge(batch, commit_name(batch, batch_id), ["n"])
         finally:
             batch.unpersist()
 
@@ -203,11 +221,14 @@ def start_ingest(df: DataFrame, fn: BatchFn, checkpoint: str, trigger: str | Non
 def start_all_streams(rating_source: DataFrame, item_source: DataFrame, base: str, checkpoints: str,
                       cfg: StreamConfig = StreamConfig(), trigger: str | None = StreamConfig.trigger,
                       buckets: int = 8) -> list[StreamingQuery]:
-    """Both ingests side by side, from parsed sources; wait with ``spark.streams.awaitAnyTermination()``."""
+    """Both ingests side by side, from parsed sources; wait with ``spark.streams.awaitAnyTermination()``.
+
+    In a stateful mode unusable messages do not reach the batches, so two more streams keep them.
+    """
     spark = rating_source.sparkSession
     ratings, sums = rating_store(spark, base, buckets), sums_store(spark, base, buckets)
     movies = movie_store(spark, base, buckets)
-    return [
+    started = [
         start_ingest(rating_stream(rating_source, cfg.dedup, cfg.watermark),
                      ratings_batch(ratings, sums, f"{base}/rejects/ratings"),
                      checkpoint_dir(checkpoints, "ratings-ingest"), trigger),
@@ -215,6 +236,11 @@ def start_all_streams(rating_source: DataFrame, item_source: DataFrame, base: st
                      items_batch(movies, f"{base}/rejects/movies"),
                      checkpoint_dir(checkpoints, "movies-ingest"), trigger),
     ]
+    if cfg.dedup != "latest":
+        for source, kind, name in ((rating_source, "ratings", "ratings"), (item_source, "items", "movies")):
+            started.append(start_ingest(reject_stream(source, kind), rejects_batch(f"{base}/rejects/{name}"),
+                                        checkpoint_dir(checkpoints, f"{name}-rejects"), trigger))
+    return started
 
 
 def current_movies(movies: DataFrame, sums: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from tastemill.operators import aggregates, feeds, filters, integrity, joins, ra
 from tastemill.operators.similar import similar_items
 from tastemill.plans.importer import import_files
 from tastemill.sources.files import read_movielens, seed_movies
+from tastemill.config import JdbcConfig
 from tastemill.sources.jdbc import read_jdbc_partitioned
 from tastemill.sources.warehouse import moment
 
@@ -163,10 +164,10 @@ def test_partitioned_read_settings():
     class Session:
         read = Reader()
 
-    read = read_jdbc_partitioned(Session(), "jdbc:x", options={"user": "u"})
+    read = read_jdbc_partitioned(Session(), "jdbc:x", JdbcConfig(1, 162_541), options={"user": "u"})
     assert read == {
         "format": "jdbc", "url": "jdbc:x", "dbtable": "(SELECT userId, movieId, rating FROM rating) AS ranged",
-        "partitionColumn": "userId", "lowerBound": 1, "upperBound": 80000, "numPartitions": 40, "fetchsize": 10000,
+        "partitionColumn": "userId", "lowerBound": 1, "upperBound": 162_541, "numPartitions": 40, "fetchsize": 10000,
         "user": "u"}
 
 

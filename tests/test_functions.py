@@ -107,6 +107,14 @@ def test_one_place_ties_go_up(spark, parts):
     assert [row[0] for row in rows] == [one_place(value) for value in values]
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.integers(-3_000_000, 3_000_000).map(lambda t: t / 1000), st.floats(-1e17, 1e17)), min_size=20, max_size=60))
+def test_one_rule_for_values_of_any_size(spark, values):
+    values += [10.045, 10.055, 9.995, 1e15 + 0.125, 0.0, -2.675, 1e300]
+    rows = apply(spark, values, "double", numbers.round_stored(F.col("x"), 2))
+    assert [row[0] for row in rows] == [float(round(Fraction(v) * 100)) / 100 if abs(v) < 2**52 else v for v in values]
+
+
 def test_missing_numbers(spark):
     assert apply(spark, [None], "double", numbers.rescale_vote(F.col("x")), numbers.one_place(F.col("x")),
                  numbers.or_zero(F.col("x"))) == [(0.0, "0.0", 0.0)]

@@ -37,11 +37,8 @@ def test_same_seed_same_ranks(spark):
 
 def test_ids_beyond_int(spark):
     small, big = ratings(spark), ratings(spark, shift=2**31)
-    assert als.ids_fit(small) and not als.ids_fit(big)
-    expected = {(r["userId"] + 2**31, r["rank"]) for r in recommend(small, TINY).collect()}
-    found = recommend(big, TINY).collect()
-    assert {(r["userId"], r["rank"]) for r in found} == expected
-    assert all(r["movieId"] >= 2**31 for r in found)
+    expected = {(r["userId"] + 2**31, r["rank"], r["movieId"] + 2**31) for r in recommend(small, TINY).collect()}
+    assert {(r["userId"], r["rank"], r["movieId"]) for r in recommend(big, TINY).collect()} == expected
 
 
 def test_no_ratings(spark):

@@ -5,18 +5,19 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
+import __spark_entry__  # noqa: F401  registers the queries
 from tastemill.operators.aggregates import movie_stats, refresh_stats
-from tastemill.operators.filters import sample_users
-from tastemill.operators.joins import user_ratings_view
+from tastemill.operators.filters import check_ratings, sample_users
+from tastemill.operators.joins import resolve_stream_ids, user_ratings_view, user_recs_view
 from tastemill.operators.ranking import rank_recommendations
+from tastemill.plans.registry import QUERIES
 from tastemill.sources import warehouse
 
 FOLDER = "/root/testdata/sf0.001"
 # These run jobs while they are built; the pieces they use are covered by the others.
-RUNS_JOBS = {"als_rmse", "als_topn", "batch_als", "csv_catalogue", "item_json", "ingest_summary", "score_topn",
+RUNS_JOBS = {"als_rmse", "als_topn", "als_topn_shape", "batch_als", "batch_als_shape", "csv_catalogue", "first_load", "item_json", "ingest_summary", "score_topn",
              "item_cosine", "similar_items", "upsert_catalogue", "upsert_metadata", "upsert_users"}
-PLAIN = sorted(n for n in entry_points.queries() if n not in RUNS_JOBS and not n.startswith("stream_"))
+PLAIN = sorted(n for n in QUERIES if n not in RUNS_JOBS and not n.startswith("stream_"))
 
 
 @contextlib.contextmanager
@@ -45,7 +46,7 @@ def final_plan(df):
 @pytest.mark.parametrize("name", PLAIN)
 def test_no_pairs_and_no_python(spark, name):
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        text = plan(entry_points.queries()[name](spark, FOLDER))
+        text = plan(QUERIES[name](spark, FOLDER))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text, name
     assert "BroadcastExchange" not in text, f"{name} broadcasts without asking for the size"
@@ -100,6 +101,28 @@ def test_popular_movie_is_split_in_joins(spark):
         assert view.count() == 60_000
 
 
+@pytest.mark.parametrize("view", ["recommendations", "validation", "stream ids"])
+def test_popular_movie_is_split_next_to_an_aggregate(spark, folder, view):
+    """The dimension is an aggregate over a file, so it is partitioned by the key before the join."""
+    movies(spark).withColumns({"id": F.col("id"), "tmdbId": F.concat(F.lit("t"), "id"), "avgRating": F.lit(1.0),
+                               "description": F.lit("d")}).write.parquet(f"{folder}/movies")
+    hot_ratings(spark).withColumns({"algorithm": F.lit("ALS"), "score": F.lit(1.0), "rank": F.lit(1),
+                                    "tmdbId": F.concat(F.lit("t"), "movieId")}).write.parquet(f"{folder}/ratings")
+    dimension, facts = spark.read.parquet(f"{folder}/movies"), spark.read.parquet(f"{folder}/ratings")
+    with settings(spark, **SMALL_PARTS):
+        rest = [c for c in dimension.columns if c != "id"]
+        grouped = dimension.groupBy("id").agg(*(F.max(c).alias(c) for c in rest))
+        joined = {"recommendations": lambda: user_recs_view(facts, grouped), "validation": lambda: check_ratings(facts, grouped),
+                  "stream ids": lambda: resolve_stream_ids(facts.drop("movieId"), dimension)}[view]()
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == 60_000
+
+
+def test_latest_ratings_are_not_sorted(spark):
+    for name in ("rating_table", "upsert_ratings"):
+        assert "SortAggregate" not in plan(QUERIES[name](spark, FOLDER)), name
+
+
 def test_refresh_counts_before_it_joins(spark):
     ratings = hot_ratings(spark)
     stale = movies(spark).select("id", F.lit(None).cast("decimal(3,2)").alias("avgRating"),

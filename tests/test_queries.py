@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
+from tastemill.plans.registry import CHECKS, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # Nothing in the smallest tables meets these conditions.
@@ -15,21 +16,21 @@ def con():
     return compare.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_same_as_sql(spark, con, name):
-    df = entry_points.queries()[name](spark, FOLDER)
-    assert compare.differences(df, con, entry_points.oracle_sql()[name]) == []
+    df = QUERIES[name](spark, FOLDER)
+    assert compare.differences(df, con, CHECKS[name]) == []
     if name not in MAY_BE_EMPTY:
         assert not df.isEmpty()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - set(entry_points.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(CHECKS)))
 def test_without_sql(spark, name):
-    assert not entry_points.queries()[name](spark, FOLDER).isEmpty()
+    assert not QUERIES[name](spark, FOLDER).isEmpty()
 
 
 def test_every_check_belongs_to_a_query():
-    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(CHECKS) <= set(QUERIES)
 
 
 def test_entry(spark):

@@ -38,7 +38,7 @@ def test_only_touched_buckets_are_written(spark, folder):
     table.write(spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("v")), 0)
     update = make(spark, (3, "y"))
     table.merge(update, 1, ["v"])
-    written = [name for name in os.listdir(f"{folder}/t/v=1") if name.startswith("bucket=")]
+    written = [name for name in os.listdir(f"{folder}/t/v=1.1") if name.startswith("bucket=")]
     assert written == [f"bucket={bucket}" for bucket in table.touched(update)]
     assert table.read().count() == 200
     assert rows(table.read().where("v = 'y'")) == [(3, "y")]
@@ -49,8 +49,8 @@ def test_unfinished_version_is_ignored_and_written_again(spark, folder):
     table = open_table(spark, folder)
     table.merge(make(spark, (1, "a")), 1, ["v"])
     table.merge(make(spark, (1, "half"), (2, "half")), 2, ["v"])
-    os.remove(f"{folder}/t/v=2/_SUCCESS")
-    os.remove(f"{folder}/t/v=2/._SUCCESS.crc")
+    os.remove(f"{folder}/t/v=1.2/_SUCCESS")
+    os.remove(f"{folder}/t/v=1.2/._SUCCESS.crc")
     assert rows(table.read()) == [(1, "a")]
     table.merge(make(spark, (1, "b")), 2, ["v"])
     assert rows(table.read()) == [(1, "b")]
@@ -61,17 +61,28 @@ def test_compact_and_expire(spark, folder):
     for version in range(4):
         table.merge(make(spark, (version, "a"), (0, f"{version}")), version, ["v"])
     before = rows(table.read())
-    table.compact(4)
+    table.compact("compacted")
     table.expire(keep=1)
-    assert table.versions() == [4]
-    assert rows(table.read()) == before
+    assert table.commits() == ["0", "1", "2", "3", "compacted"] and rows(table.read()) == before
+    assert sorted(os.listdir(f"{folder}/t/v=0.0")) == ["._SUCCESS.crc", "_SUCCESS"]
+    table.merge(make(spark, (0, "never")), 3, ["v"])  # replayed after its data is gone
+    table.merge(make(spark, (9, "later")), 4, ["v"])
+    assert rows(table.read()) == sorted([*before, (9, "later")], key=repr)
+
+
+def test_writers_with_the_same_batch_numbers(spark, folder):
+    table = open_table(spark, folder)
+    table.merge(make(spark, (1, "a")), "one-0", ["v"])
+    table.merge(make(spark, (2, "b")), "two-0", ["v"])
+    table.merge(make(spark, (3, "c")), "one-0", ["v"])
+    assert rows(table.read()) == [(1, "a"), (2, "b")]
 
 
 def test_null_keys_are_spread(spark, folder):
     schema = schemas.struct(k=schemas.TEXT, id=schemas.LONG)
     table = KeyedTable(spark, folder + "/t", schema, ["k"], 8, spread="id")
     table.write(spark.range(100).select(F.lit(None).cast("string").alias("k"), "id"), 0)
-    buckets = [name for name in os.listdir(f"{folder}/t/v=0") if name.startswith("bucket=")]
+    buckets = [name for name in os.listdir(f"{folder}/t/v=0.0") if name.startswith("bucket=")]
     assert len(buckets) == 8 and table.read().count() == 100
 
 

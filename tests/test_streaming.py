@@ -70,9 +70,9 @@ def test_restart_and_sums(spark, folder, stats):
     assert stored(spark, folder) == {(1, 1): (5.0, T0 + 3), (2, 1): (1.0, T0)}
     full = stat_sums(ingest.rating_store(spark, folder, 2).read())
     assert sums(spark, folder) == {r["movieId"]: (r["sum10"], r["n"]) for r in full.collect()}
-    before = ingest.rating_store(spark, folder, 2).versions()
+    before = ingest.rating_store(spark, folder, 2).commits()
     run(spark, folder, stats=stats)
-    assert ingest.rating_store(spark, folder, 2).versions() == before
+    assert ingest.rating_store(spark, folder, 2).commits() == before
 
 
 def test_older_rating_arriving_later_is_ignored(spark, folder):
@@ -93,8 +93,8 @@ def test_replayed_batch_changes_nothing(spark, folder):
     # The ratings of batch 1 are stored, then the job dies before the sums are.
     again = batch.withColumn("rating", F.lit(2.0)).withColumn("timestamp", F.lit(T0 + 1).cast("bigint"))
     write(again, 1)
-    os.remove(f"{folder}/rating_sums/v=2/_SUCCESS")
-    os.remove(f"{folder}/rating_sums/v=2/._SUCCESS.crc")
+    os.remove(f"{folder}/rating_sums/v=1.batch-1/_SUCCESS")
+    os.remove(f"{folder}/rating_sums/v=1.batch-1/._SUCCESS.crc")
     write(again, 1)
     assert sums(spark, folder) == {1: (20, 1)}
 

@@ -57,6 +57,29 @@ def test_null_keys_never_match(spark):
     assert rows(upsert(target, updates, ["k"], ["a"])) == [(1, "n"), (None, "x"), (None, "y")]
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_updates_without_a_key_are_each_inserted(spark, small):
+    target = spark.createDataFrame([(None, "x"), (1, "z")], "k bigint, a string")
+    updates = spark.createDataFrame([(None, "u"), (None, "v"), (None, "v"), (1, "n"), (2, "m")], "k bigint, a string")
+    assert rows(upsert(target, updates, ["k"], ["a"], small_updates=small)) == [
+        (1, "n"), (2, "m"), (None, "u"), (None, "v"), (None, "v"), (None, "x")]
+    assert rows(upsert(target, updates, ["k"], [])) == [(1, "z"), (2, "m"), (None, "u"), (None, "v"), (None, "v"), (None, "x")]
+
+
+def test_latest_as_one_number_and_as_a_struct(spark):
+    values = [None, -(2**63), -1, 0, 7, 2**63 - 1]
+    stars = [None, Decimal("-9.9"), Decimal("0.0"), Decimal("9.9"), Decimal("0.1")]
+    given = [(k, v, s) for k, (v, s) in enumerate([(v, s) for v in values for s in stars])]
+    events = [(k % 4, v, s, k) for k, v, s in given]
+    df = spark.createDataFrame(events, "k bigint, t bigint, r decimal(2,1), n int")
+    for order in (["t", "r"], ["r"], ["n"], []):
+        one = latest_per_key(df, ["k"], order)
+        other = latest_per_key(df.withColumn("text", F.lit("x")), ["k"], order).drop("text")
+        assert one.schema == df.schema and rows(one) == rows(other)
+        text = one._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_defaults_for_new_rows(spark):
     target = spark.createDataFrame([(1, 5)], "k bigint, n int")
     updates = spark.createDataFrame([(1,), (2,)], "k bigint")
