@@ -47,8 +47,13 @@ def rating_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rating_history(spark: SparkSession, folder: str) -> DataFrame:
-    """One rating per user and movie, the last one given, with its sequence number."""
-    return latest_per_key(rating_log(spark, folder), RATING_KEY, ["timestamp", "seq"])
+    """One rating per user and movie, the last one given, with its sequence number.
+
+    Sequence numbers have at most 14 digits, so time, number and rating fit together into one number.
+    """
+    log = rating_log(spark, folder)
+    last = latest_per_key(log.withColumn("seq", F.col("seq").cast("decimal(14,0)")), RATING_KEY, ["timestamp", "seq"])
+    return last.withColumn("seq", F.col("seq").cast("bigint"))
 
 
 def rating(spark: SparkSession, folder: str) -> DataFrame:
