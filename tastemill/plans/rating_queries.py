@@ -89,7 +89,7 @@ SELECT COALESCE(t.userId, u.userId) AS userId, COALESCE(t.movieId, u.movieId) AS
        CASE WHEN u.userId IS NULL THEN t.timestamp ELSE {NOW} END AS updated_at
 FROM t FULL JOIN u ON t.userId = u.userId AND t.movieId = u.movieId""")
 def upsert_ratings(spark, folder):
-    log = warehouse.rating_log(spark, folder)
+    log = warehouse.rating_log(spark, folder).withColumn("seq", F.col("seq").cast("decimal(14,0)"))
     early, late = log.where(F.col("timestamp") < CUTOFF), log.where(F.col("timestamp") >= CUTOFF)
     known = typed_ratings(upsert.latest_per_key(early, upsert.RATING_KEY, ["timestamp", "seq"]))
     return plain(upsert.upsert_ratings(known, late, warehouse.moment(warehouse.NOW), order_by=["timestamp", "seq"]))
