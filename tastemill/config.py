@@ -14,7 +14,8 @@ class AlsConfig:
     max_iter: int = 10
     top_n: int = 30
     max_user_id: int | None = None  # a bound trains on the users with the lowest ids only
-    blocks: int | None = None  # tasks of a training step; None: as many as shuffles have partitions
+    blocks: int | None = None  # tasks of a training step; None: one for every ``block_ratings`` ratings, 10 at least
+    block_ratings: int = 1_000_000
     checkpoint_interval: int = 5
     seed: int = 42
     algorithm: str = "ALS"

@@ -205,3 +205,14 @@ def test_topic_reader_settings(spark):
     assert parsed.columns == [*schemas.RATING_EVENT.names, "raw", "arrivedAt"]
     assert Session.readStream.told == {
         "format": "kafka", "kafka.bootstrap.servers": "host:1", "subscribe": "ratings", "startingOffsets": "latest"}
+
+
+def test_the_later_event_of_an_item_counts(spark, folder):
+    movies = ingest.movie_store(spark, folder, 2)
+    columns = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ITEM_EVENT}
+    events = spark.createDataFrame([("t1", "Zulu old", 1), ("t1", "Alpha new", 2), ("t2", "Same", 1), ("t2", "Same", 1)],
+                                   "tmdbId string, title string, at int")
+    batch = events.select(*(F.col(c) if c in ("tmdbId", "title") else columns[c] for c in columns),
+                          F.timestamp_seconds("at").alias("eventTime"), F.lit("").alias("raw"))
+    ingest.items_batch(movies)(batch, 0)
+    assert sorted((r["tmdbId"], r["title"]) for r in movies.read().collect()) == [("t1", "Alpha new"), ("t2", "Same")]
