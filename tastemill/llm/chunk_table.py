@@ -14,8 +14,8 @@ import numpy as np
 
 from tastemill.llm.textbytes import spread
 
-TABLE_CHUNKS = 500_000
-TABLE_CHARS = 8_000_000
+TABLE_CHUNKS = 200_000
+TABLE_CHARS = 4_000_000
 
 
 class _Numbers(dict):

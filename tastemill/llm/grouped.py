@@ -37,3 +37,5 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tu
     if held:
         whole, begins, _ = cut(True)
         yield whole, begins
+    held.clear()
+    pa.default_memory_pool().release_unused()  # see textbytes.pieces

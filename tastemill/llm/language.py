@@ -35,6 +35,8 @@ FEATURES = 4096
 SAMPLE_ROWS = 3000
 AMBIGUOUS_GAP = 0.1
 SNIPPET = 48
+ROWS = 128  # texts whose features are made at a time, and about so many bytes of them
+BYTES = 1 << 19
 
 
 @cache
@@ -159,12 +161,12 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     kinds = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, "_text", BYTES):
             texts = batch.column(len(keep)).to_pylist()
             names, scores, unsure = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             if model:
-                for k in range(0, len(texts), 512):
-                    x, n_letters = features(texts[k:k + 512])
+                for k in range(0, len(texts), ROWS):
+                    x, n_letters = features(texts[k:k + ROWS])
                     best, top, lead = model.decode(x)
                     for i in np.flatnonzero(n_letters):
                         names[k + i], scores[k + i] = model.languages[best[i]], top[i]
@@ -186,10 +188,10 @@ def accepted(docs: DataFrame, model: Model | None, gap: float = AMBIGUOUS_GAP) -
             if batch.num_rows and model:
                 named = pa.RecordBatch.from_arrays(batch.columns, names=[*(f"c{k}" for k in range(at)), "text", *(
                     f"c{k}" for k in range(at + 1, batch.num_columns))])
-                for piece in pieces([named]):
+                for piece in pieces([named], limit=BYTES):
                     texts, keep = piece.column(at).to_pylist(), []
-                    for k in range(0, len(texts), 512):
-                        x, n_letters = features(texts[k:k + 512])
+                    for k in range(0, len(texts), ROWS):
+                        x, n_letters = features(texts[k:k + ROWS])
                         keep.append((n_letters > 0) & (model.decode(x)[2] >= gap))
                     yield pa.RecordBatch.from_arrays(piece.columns, schema=batch.schema).filter(pa.array(np.concatenate(keep)))
 

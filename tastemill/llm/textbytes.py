@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,6 +55,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         cuts = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()  # workers live on after a task and would keep the memory of its batches
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
