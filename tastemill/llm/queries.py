@@ -1,4 +1,5 @@
 """All queries of this folder: importing the modules registers them."""
 
-from tastemill.llm import chat, fingerprints, jaccard, language, neighbours, packing, pieces_table, pii, shards, url_filter  # noqa: F401
+from tastemill.llm import (  # noqa: F401
+    chat, fingerprints, jaccard, language, neighbours, packing, pieces_table, pii, resampling, shards, url_filter)
 from tastemill.llm.registry import CHECKS, QUERIES  # noqa: F401

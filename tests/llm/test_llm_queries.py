@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_ngram_jaccard_join": "doc_id class_id n_links",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_approximate_neighbours": "query_id rank vec_id score",
+    "op12_importance_resampling": "doc_id n_features weight score rank",
 }
 SOURCE = {"op4_chat_formatting": ("conversations", "conv_id"), "op6_url_filters": ("pages", "page_id")}
 
