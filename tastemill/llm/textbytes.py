@@ -25,7 +25,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# A number for each byte, the same for both cases of an ASCII letter.
+# A number for each byte.
+EXACT = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+
+# The same for both cases of an ASCII letter.
 _LETTER = np.arange(256, dtype=np.uint64)
 _LETTER[65:91] += np.uint64(32)
 _LETTER = mix((_LETTER + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
@@ -85,12 +88,12 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each word; ASCII letters count without case."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = _LETTER) -> np.ndarray:
+    """64 bits for each word; ASCII letters count without case, unless ``letters`` tells them apart."""
     power, inverse = _power_tables(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_LETTER[data] * power[:len(data)], out=sums[1:])
+    np.cumsum(letters[data] * power[:len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 

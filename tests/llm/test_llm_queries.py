@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_approximate_neighbours": "query_id rank vec_id score",
     "op12_importance_resampling": "doc_id n_features weight score rank",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 SOURCE = {"op4_chat_formatting": ("conversations", "conv_id"), "op6_url_filters": ("pages", "page_id")}
 
