@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_ngram_jaccard_join": "doc_id class_id n_links",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_approximate_neighbours": "query_id rank vec_id score",
+    "op11_multipart_credentials": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op12_importance_resampling": "doc_id n_features weight score rank",
     "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
