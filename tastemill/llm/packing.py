@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tastemill.llm.chunk_table import ChunkTable
+from tastemill.llm.chunk_table import ChunkTable, HashedTable
 from tastemill.llm.registry import query, table
 from tastemill.llm.textbytes import pieces as slices
+from tastemill.llm.textbytes import spread, utf8
 from tastemill.session import work_dir
 
 CAPACITY = 2048
@@ -39,43 +40,84 @@ SLACK = 4
 END_ID = 1
 # In texts of these signs alone the tokenizer's split is plain: runs of letters, single digits, runs of other signs.
 # The apostrophe is not among them because it begins suffixes, nor are letters that change when composed.
-_PLAIN = bytes([9, 10, 13, *range(32, 39), *range(40, 127), *range(0xC0, 0x100)])
-_LETTERS = "a-zà-öø-ÿß"
+_BLANK, _LETTER, _DIGIT, _SIGN, _ELSE = range(5)
+_CLASS = np.full(256, _ELSE, np.uint8)
+_CLASS[[*range(33, 39), *range(40, 127)]] = _SIGN
+_CLASS[[9, 10, 13, 32]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_LEAD = 0xC3  # of the two bytes of À to ÿ, all letters but × and ÷
+_NO_LETTER = (0x97, 0xB7)
 
 
 class WordIds:
-    """Ids by a tokenizer that drops white space and case and never joins what stands on the two sides of a blank."""
+    """Ids by a tokenizer that drops white space and case and never joins what stands on the two sides of a blank.
+
+    Plain texts are cut into words on their bytes and looked up by hash; the others are cut at white space.
+    """
 
     def __init__(self, vocabulary: str, **limits: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = re.compile(f"[{_LETTERS}]+|[0-9]|[^ \n\t\r0-9{_LETTERS}]+").findall
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks_of = re.compile("[^ \n\t\r]+").findall
-        self.chunks = ChunkTable(self._tokenize, **limits)
+        self.words = HashedTable(self._tokenize, **limits)
+        self.chunks = ChunkTable(self._tokenize)
 
     def _tokenize(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _split(self, text: str) -> list[str]:
-        try:
-            plain = not text.encode("latin-1").translate(None, _PLAIN)
-        except UnicodeEncodeError:
-            plain = False
-        if plain and not any(special in text for special in self.specials):
-            return self.words(text.lower())
-        return self.chunks_of(text)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each text's begin and the last end."""
-        chunks, counts = [], []
-        for text in texts:
-            own = self._split(text)
-            counts.append(len(own))
-            chunks += own
-        ids, bounds, _ = self.chunks.join(chunks, counts)
-        return ids, bounds
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which texts are plain, and the class of every byte of theirs."""
+        kind = _CLASS[data]
+        lead = np.flatnonzero(data == _LEAD)
+        kind[lead] = kind[lead + 1] = np.where(np.isin(data[lead + 1], _NO_LETTER), _SIGN, _LETTER)
+        other = np.concatenate([[0], np.cumsum(kind == _ELSE)])
+        plain = other[offsets[1:]] == other[offsets[:-1]]
+        raw = data.tobytes()
+        for special in self.specials:
+            at = raw.find(special)
+            while at >= 0:
+                plain[np.searchsorted(offsets, at, "right") - 1] = False
+                at = raw.find(special, at + 1)
+        return plain, kind
+
+    def _of_plain(self, data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lower = data.copy()
+        lower[(data >= 65) & (data < 91)] += 32
+        after = np.flatnonzero(data == _LEAD) + 1
+        upper = after[(data[after] < 0x9F) & (data[after] != _NO_LETTER[0])]
+        lower[upper] += 32
+        edge = np.ones(len(kind) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        edge[offsets] = True
+        cuts = np.flatnonzero(edge)
+        starts, ends = cuts[:-1], cuts[1:]
+        word = kind[starts] != _BLANK if len(starts) else np.zeros(0, bool)
+        starts, ends = starts[word], ends[word]
+        ids, bounds = self.words.join(lower, starts, ends)
+        return ids, bounds[np.searchsorted(starts, offsets)]
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin and the last end; null is empty."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        data, offsets = utf8(column)
+        plain, kind = self._plain(data, offsets)
+        size, at = np.diff(offsets), np.flatnonzero(plain)
+        if len(at) < len(plain):
+            own = spread(offsets[at], size[at])
+            ids, bounds = self._of_plain(data[own], kind[own], np.concatenate([[0], np.cumsum(size[at])]))
+        else:
+            ids, bounds = self._of_plain(data, kind, offsets)
+            return ids, bounds
+        rest = np.flatnonzero(~plain)
+        cut = [self.chunks_of(text) for text in column.take(pa.array(rest)).to_pylist()]
+        more, more_bounds, _ = self.chunks.join([c for own in cut for c in own], [len(own) for own in cut])
+        begin, count = np.empty(len(plain), np.int64), np.empty(len(plain), np.int64)
+        begin[at], count[at] = bounds[:-1], np.diff(bounds)
+        begin[rest], count[rest] = len(ids) + more_bounds[:-1], np.diff(more_bounds)
+        return np.concatenate([ids, more])[spread(begin, count)], np.concatenate([[0], np.cumsum(count)])
 
 
 @cache
@@ -93,7 +135,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
         for piece in slices(batches):
-            ids, bounds = words.encode([t or "" for t in piece.column(1).to_pylist()])
+            ids, bounds = words.encode(piece.column(1))
             row, start, length, crc, total = [], [], [], [], []
             for k in range(piece.num_rows):
                 own = np.append(ids[bounds[k]:bounds[k + 1]], END_ID).astype("<u4")
@@ -219,7 +261,7 @@ def _cut_again(docs: DataFrame, left: DataFrame, vocabulary: str, capacity: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(vocabulary)
         for piece in slices(batches):
-            ids, bounds = words.encode([t or "" for t in piece.column(1).to_pylist()])
+            ids, bounds = words.encode(piece.column(1))
             out = []
             for k, (start, length, total, line) in enumerate(zip(*(piece.column(c).to_pylist() for c in range(2, 6)))):
                 own = np.append(ids[bounds[k]:bounds[k + 1]], END_ID).astype("<u4")

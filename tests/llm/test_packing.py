@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tastemill.llm import packing
+from tastemill.llm import chunk_table, packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
@@ -34,11 +34,20 @@ def test_ids_of_any_text(texts):
 
 
 def test_full_table():
-    small = packing.WordIds(VOCABULARY, max_chunks=4)
+    small = packing.WordIds(VOCABULARY, max_words=4)
     for text in ("a b c d e f g", "h i j a", "k l m n o p a b", "q r s t u v a h") * 2:
         ids, _ = small.encode([text])
         assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert len(small.chunks.numbers) < 26
+    assert 4 <= len(small.words) < 26
+
+
+def test_words_with_one_hash(monkeypatch):
+    monkeypatch.setattr(chunk_table, "word_hashes", lambda data, starts, ends, letters: (ends - starts).astype(np.uint64))
+    words = packing.WordIds(VOCABULARY)
+    for texts in (["ab cd ef ab", "", "cd é x y é"], ["ef gh ab cd", "y x"], TEXTS):
+        ids, bounds = words.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[bounds[k]:bounds[k + 1]].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
 def best_fill(counts, capacity):
