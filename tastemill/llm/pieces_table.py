@@ -4,8 +4,8 @@ No piece of the vocabulary continues over a white space marker, so merges never
 to the next: a text's ids are the ids of its chunks one after another. A chunk is a run of markers with the
 letters up to the next marker; a character that is in no piece (a line feed, say) starts a chunk as well.
 Each worker keeps a table of the distinct chunks it has met, segments a new one once, and joins ids back by
-position: chunk numbers of a text become lengths, cumulated offsets and one gather from the table. Decoding
-takes the chunks' decoded texts from the same table.
+position: chunk numbers of a text become lengths, cumulated offsets and one gather from the table. Beside its ids
+the table keeps what a chunk's ids decode to, and a text is decoded by joining these by the same chunk numbers.
 
 The conditions are read from the model (``chunkable``); a model that breaks them is run on whole texts. The
 table is bounded (``chunk_table``).
@@ -44,8 +44,7 @@ class PieceTable:
         # A line feed that no piece has is never merged with its neighbours.
         alone = "" if any("\n" in n for n in normal) else "\n"
         self.find = re.compile(f"(?:[ {MARK}]+|{alone or '(?!)'})[^ {MARK}{alone}]*").findall
-        self.odd: set[str] = set()  # chunks that do not decode to themselves
-        self.chunks = ChunkTable(self._segment, **limits)
+        self.chunks = ChunkTable(self._segment, text_of=self._texts, **limits)
 
     def _chunkable(self, names: list[str]) -> bool:
         """Markers only begin pieces, text is not normalised, and a blank is put before every text and kept."""
@@ -58,29 +57,23 @@ class PieceTable:
         """Ids of chunks in the middle of a text. The blank put before every text stands for a chunk's first marker."""
         found = self.processor.encode([c if c[0] == "\n" else c[1:] for c in chunks], num_threads=1)
         marker = self.processor.piece_to_id(MARK)
-        found = [ids[1:] if c[0] == "\n" else ids or [marker] for c, ids in zip(chunks, found)]
-        for chunk, ids, decoded in zip(chunks, found, self.processor.decode(found, num_threads=1)):
-            if decoded != (chunk if chunk[0] == "\n" else chunk[1:]).replace(MARK, " "):
-                self.odd.add(chunk)
-        return found
-
-    def _decode(self, text: str, chunks: list[str]) -> str:
-        if self.odd.isdisjoint(chunks):
-            return text.replace(MARK, " ")
-        out = []
-        for chunk, ids in zip(chunks, self._segment(chunks)):
-            out.append(self.processor.decode(ids) if chunk[0] == "\n" else " " + self.processor.decode(ids))
-        return "".join(out)[1:]
+        return [ids[1:] if c[0] == "\n" else ids or [marker] for c, ids in zip(chunks, found)]
+
+    def _texts(self, chunks: list[str], found: list[list[int]]) -> list[str]:
+        """What the ids of chunks decode to in the middle of a text, where the first marker is a blank."""
+        decoded = self.processor.decode(found, num_threads=1)
+        return [text if c[0] == "\n" else f" {text}" for c, text in zip(chunks, decoded)]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Ids of each text without begin and end, and their decoded text."""
         if not self.chunkable:
             return [(np.array(ids := self.processor.encode(t), np.uint32), self.processor.decode(ids)) for t in texts]
         own = [self.find(" " + text) if text else [] for text in texts]
-        if not self.chunks.numbers:
-            self.odd.clear()
-        ids, bounds, _ = self.chunks.join([c for chunks in own for c in chunks], [len(c) for c in own])
-        return [(ids[bounds[k]:bounds[k + 1]], self._decode(text, own[k])) for k, text in enumerate(texts)]
+        counts = [len(c) for c in own]
+        ids, bounds, at = self.chunks.join([c for chunks in own for c in chunks], counts)
+        decoded, at, ends = self.chunks.texts, at.tolist(), np.cumsum([0, *counts]).tolist()
+        # The blank put before every text is no part of it.
+        return [(ids[bounds[k]:bounds[k + 1]], "".join([decoded[i] for i in at[ends[k]:ends[k + 1]]])[1:]) for k in range(len(texts))]
 
 
 @cache

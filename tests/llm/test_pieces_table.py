@@ -38,7 +38,16 @@ def test_a_full_table():
     small = pt.PieceTable(MODEL, max_chunks=3)
     for _ in range(3):
         check(["a b c d e f", "g a\nh"], small)
-    assert len(small.chunks.numbers) <= 20
+    assert len(small.chunks.numbers) <= 20 and len(small.chunks.texts) == len(small.chunks.numbers)
+
+
+def test_decodes_what_the_ids_say():
+    """The decoded text comes from ids: with other ids in the table it is another text."""
+    other = pt.PieceTable(MODEL)
+    segment = other.chunks.segment
+    other.chunks.segment = lambda chunks: segment([c.replace("cat", "dog") for c in chunks])
+    (ids, decoded), = other.encode(["a cat\nsat"])
+    assert decoded == "a dog\nsat" == SP.decode(ids.tolist())
 
 
 def test_without_chunks():
