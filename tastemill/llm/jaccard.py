@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tastemill.llm.components import components
 from tastemill.llm.grouped import sorted_groups
@@ -72,7 +73,8 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Key, size, signature (a byte of each MinHash value) and bands of the set of every text."""
+    """Key, size, signature (a byte of each MinHash value) and bands of the set of every text; ``text_hash`` tells rows of
+    one id with different texts apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +88,23 @@ def profiles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 band = mix(band * np.uint64(0x9E3779B97F4A7C15) + joined[:, :, k])
             short = ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                [piece.column(0), piece.column(2), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                  pa.array([len(s) for s in found], pa.int64()), pa.array([row.tobytes() for row in short], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS),
                                           pa.array(band.view(np.int64).ravel()))],
-                names=["doc_id", "hi", "lo", "n", "sig", "bands"])
+                names=["doc_id", "text_hash", "hi", "lo", "n", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, hi long, lo long, n long, sig binary, bands array<long>")
+    return with_text_hash(docs).mapInArrow(
+        run, f"doc_id {kind}, text_hash long, hi long, lo long, n long, sig binary, bands array<long>")
+
+
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
+def same_row(one: str, other: str) -> Column:
+    """Rows of one id and text, ids compared with nulls."""
+    return (F.col(f"{one}.text_hash") == F.col(f"{other}.text_hash")) & F.col(f"{one}.doc_id").eqNullSafe(F.col(f"{other}.doc_id"))
 
 
 @lru_cache(maxsize=8)
@@ -245,13 +256,15 @@ def spanning(ok: np.ndarray) -> np.ndarray:
 def verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, width: int, tile: int) -> DataFrame:
     """``id``, ``root`` in its tile and number of linked documents in its tile, for each set and tile it is in."""
     need = needed_matches(threshold, tolerance)
-    # Texts meet the members by document id. Rows of the same id with another text are told by their key.
-    same = F.col("m.doc_id").eqNullSafe(F.col("d.doc_id"))
-    wanted = members.alias("m").join(docs.select("doc_id", "text").alias("d"), same).select(
+    # One row of each set, by id and text, brings the text.
+    wanted = members.alias("m").join(with_text_hash(docs).alias("d"), same_row("m", "d")).select(
         "id", "component", "size", "copies", "sig", "hi", "lo", "text")
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of rows that are given many times a task passes one on
         for piece in pieces(batches):
+            fresh = [k for k, i in enumerate(piece.column("id").to_pylist()) if not (i in seen or seen.add(i))]
+            piece = piece.take(pa.array(fresh, pa.int64()))
             found = sets(piece.column("text"), width)
             keys = zip(piece.column("hi").to_pylist(), piece.column("lo").to_pylist())
             keep = [k for k, (s, key) in enumerate(zip(found, keys)) if len(s) and set_key(s) == key]
@@ -286,10 +299,8 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance: f
         compare, "id long, root long, links long")
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH,
-                       bucket_tile: int = BUCKET_TILE, group_tile: int = GROUP_TILE) -> DataFrame:
-    """One row for each document: ``doc_id``, ``class_id`` (smallest document id of its class), ``n_links`` (documents
-    at least ``threshold`` alike, copies included) and ``n_copies`` (documents with the same shingles, itself included)."""
+def _classes(docs: DataFrame, threshold: float, tolerance: float, width: int, bucket_tile: int, group_tile: int) -> DataFrame:
+    """Every row's id and text hash, the first row of its class (smallest id, then text hash) and its numbers."""
     spark = docs.sparkSession
     place = work_dir(spark, "jaccard")
 
@@ -297,32 +308,66 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
         df.write.parquet(f"{place}/{name}")
         return spark.read.parquet(f"{place}/{name}")
 
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     profile = stored(profiles(docs, width), "profiles")
     # The ids of sets are fixed by writing them.
     distinct = stored(profile.where("n > 0").groupBy("hi", "lo", "n").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
+        F.min(row).alias("row"), F.count("*").alias("copies"), F.first("sig").alias("sig"),
         F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "sets")
     edges = stored(candidate_edges(distinct, threshold, tolerance, bucket_tile), "edges")
     found = components(edges)
     members = stored(found.select("id", F.col("root").alias("component")).union(
         found.select("root", "root").distinct()), "members")
     sizes = stored(members.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    members = members.join(sizes, "component").join(distinct.select("id", "doc_id", "hi", "lo", "copies", "sig"), "id")
+    # Written, so that Spark knows how few they are when it joins them with the texts.
+    members = stored(members.join(sizes, "component").join(
+        distinct.select("id", "row.doc_id", "row.text_hash", "hi", "lo", "copies", "sig"), "id"), "wanted")
     checked = stored(verified(docs, members, threshold, tolerance, width, group_tile), "links")
     roots = components(checked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     total = checked.groupBy("id").agg(F.sum("links").alias("links"))
-    labelled = distinct.select("id", "hi", "lo", "n", "doc_id", "copies").join(roots, "id", "left").join(total, "id", "left").select(
-        "hi", "lo", "n", "doc_id", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    labelled = distinct.select("id", "hi", "lo", "n", "row", "copies").join(roots, "id", "left").join(total, "id", "left").select(
+        "hi", "lo", "n", "row", "copies", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     labelled = stored(labelled, "labelled")
-    named = stored(labelled.groupBy("root").agg(F.min("doc_id").alias("class_id")), "names")
-    labelled = stored(labelled.join(named, "root").select("hi", "lo", "n", "class_id", "copies", "links"), "classes")
-    rows = profile.select("doc_id", "hi", "lo", "n").join(labelled, ["hi", "lo", "n"], "left")
+    named = stored(labelled.groupBy("root").agg(F.min("row").alias("first")), "names")
+    labelled = stored(labelled.join(named, "root").select("hi", "lo", "n", "first", "copies", "links"), "classes")
+    return profile.select("doc_id", "text_hash", "hi", "lo", "n").join(labelled, ["hi", "lo", "n"], "left")
+
+
+def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH,
+                       bucket_tile: int = BUCKET_TILE, group_tile: int = GROUP_TILE) -> DataFrame:
+    """One row for each document: ``doc_id``, ``class_id`` (smallest document id of its class), ``n_links`` (documents
+    at least ``threshold`` alike, copies included) and ``n_copies`` (documents with the same shingles, itself included)."""
+    rows = _classes(docs, threshold, tolerance, width, bucket_tile, group_tile)
     return rows.select(
-        "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
 
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, width: int = WIDTH,
+                      bucket_tile: int = BUCKET_TILE, group_tile: int = GROUP_TILE) -> DataFrame:
+    """The row with the smallest id of each class, with all its columns.
+
+    Of rows of one class and id with different texts the one with the smallest hash of its text stays, of rows of one id and
+    text one; rows without words stay. Only ids and hashes decide and travel: rows that go, and
+    rows given more than once, are written as narrow keys, and the texts are filtered by them.
+    """
+    spark = docs.sparkSession
+    place = work_dir(spark, "superseded")
+    rows = _classes(docs, threshold, tolerance, width, bucket_tile, group_tile)
+    first = (F.col("text_hash") == F.col("first.text_hash")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    keys = rows.groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n"), F.bool_or(F.col("copies").isNotNull() & ~first).alias("goes"))
+    keys.where("goes or n > 1").write.parquet(place)
+    marked = spark.read.parquet(place)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", F.xxhash64("text").alias("text_hash")).alias("d")
+    once = whole.join(marked.alias("m"), same_row("d", "m"), "left_anti")
+    again = whole.join(marked.where("not goes").alias("m"), same_row("d", "m"), "left_semi")
+    order = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1))
+    again = again.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return once.select("whole.*").unionByName(again.select("whole.*"))
+
+
 @query("op8_ngram_jaccard_join")
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_classes(table(spark, folder, "documents"))

@@ -29,12 +29,18 @@ def test_components(spark, edges):
     assert got == {x: r for x, r in graph_roots(edges).items() if x != r}
 
 
+def shingled(text):
+    words = [w.lower() for w in (text or "").encode().split()]
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar(one, other):
+    a, b = shingled(one), shingled(other)
+    return bool(a) and len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
 def brute(rows):
     """Classes and links by comparing all pairs of whole sets."""
-    def shingled(text):
-        words = [w.lower() for w in (text or "").encode().split()]
-        return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
     own = [shingled(r[1]) for r in rows]
     linked = [[b for b in range(len(rows)) if b != a and own[a] and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) - 1e-9]
               for a in range(len(rows))]
@@ -88,6 +94,32 @@ def test_against_all_pairs(spark, bucket_tile, group_tile):
 
 def test_empty_table(spark):
     assert jj.similarity_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert jj.one_of_each_class(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_row_of_each_class(spark):
+    """Ids repeat with other texts, in other classes and in the same one; rows repeat as a whole."""
+    rng = np.random.default_rng(9)
+    a, b, c, d = (" ".join(rng.choice([f"w{i}" for i in range(500)], 40)) for _ in range(4))
+    rows = [(5, a), (5, b), (3, b + " more"), (9, c), (9, c + " tail"), (7, d), (7, d), (7, d), (2, d + " x y"), (11, ""), (11, ""), (12, None),
+            (None, a + " z"), (None, "a null id of its own with words"), (None, "a null id of its own with words")]
+    rows += [(int(i), t) for i, t, *_ in corpus(6)[:150]]
+    rows = [(i, t, "x", k % 2, "y") for k, (i, t) in enumerate(rows)]
+    got = jj.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string, text_hash string, n int, whole string"))
+    assert got.columns == ["doc_id", "text", "text_hash", "n", "whole"]
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= {r[:2] for r in rows}
+    linked = [(k, j) for k, x in enumerate(rows) for j, y in enumerate(rows) if j <= k and similar(x[1], y[1])]
+    classes = {}
+    for k, root in graph_roots([*linked, *((k, k) for k in range(len(rows)))]).items():
+        classes.setdefault(root, set()).add(rows[k][:2])
+    for members in classes.values():
+        if not any((t or "").split() for _, t in members):
+            assert members <= set(kept)
+            continue
+        least = min((i is None, i) for i, _ in members)[1]
+        stays = [row for row in kept if row in members]
+        assert len(stays) == 1 and stays[0][0] == least
 
 
 def test_signatures_estimate_similarity():
