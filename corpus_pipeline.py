@@ -3,7 +3,7 @@
 Each stage takes what its predecessor kept, as written to Parquet and read again: (spark, docs, sf_dir) -> DataFrame.
 
 1. language_id — documents without letters, and those whose language stays ambiguous, go.
-2. ngram_jaccard_join — of each class of near duplicates the document with the smallest id stays; of equal ids one.
+2. ngram_jaccard_join — of each class of near duplicates one document stays, that with the smallest id.
 3. pii — personal data is masked in the text; clean texts stay as they are.
 4. packing — token pieces with their sequence and offset.
 """
@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tastemill.llm import jaccard, language, packing, pii
 from tastemill.session import work_dir
@@ -25,19 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the smallest id. Of rows with one id and text, one stays."""
-    folder = work_dir(spark, "kept")
-    kept = jaccard.similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id"))
-    kept.distinct().write.parquet(f"{folder}/ids")
-    # Ids should be unique; rows of repeated ones are set aside, so that all other texts need not be grouped.
-    docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id").write.parquet(f"{folder}/repeated")
-    kept, repeated = (spark.read.parquet(f"{folder}/{name}") for name in ("ids", "repeated"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("i.id"))
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    again = docs.alias("d").join(repeated.alias("i"), same, "left_semi")
-    again = again.withColumn("row_of_document", F.row_number().over(order)).where("row_of_document = 1").select(*docs.columns)
-    rows = docs.alias("d").join(repeated.alias("i"), same, "left_anti").unionByName(again)
-    return rows.alias("d").join(kept.alias("i"), same, "left_semi")
+    """One document of each class: that with the smallest id, then the smallest hash of its text. Equal rows are one."""
+    return jaccard.one_of_each_class(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
