@@ -19,6 +19,7 @@ class AlsConfig:
     checkpoint_interval: int = 5
     seed: int = 42
     algorithm: str = "ALS"
+    exclude_seen: bool = False  # leave out what a user has rated
 
     @staticmethod
     def small() -> "AlsConfig":

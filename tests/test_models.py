@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tastemill import schemas
 from tastemill.config import AlsConfig
-from tastemill.operators import als
+from tastemill.operators import als, factors
 from tastemill.operators.factors import _norm, score_topn, similar_by_factors
 from tastemill.operators.numbering import dense_index
 from tastemill.operators.ranking import rank_recommendations
@@ -101,6 +101,55 @@ def test_top_items_equal_brute_force(spark):
         assert sorted((r["userId"], r["movieId"], r["rank"]) for r in found.collect()) == expected
 
 
+def test_top_unseen_items_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    items = [(i, (rng.normal(size=4) * 2.0 ** -(i % 5)).tolist()) for i in range(80)] + [(200, [0.0] * 4)]
+    users = [(i, rng.normal(size=4).tolist()) for i in range(25)] + [(99, [0.0] * 4)]
+    seen = {(u, int(m)) for u in range(20) for m in rng.choice(80, rng.integers(0, 70), replace=False)}
+    seen |= {(20, m) for m, _ in items} | {(21, m) for m, _ in items[3:]} | {(22, 10 ** 12), (10 ** 12, 3)}
+    # The best of one user are all seen, so the first blocks do not do.
+    best = sorted(items, key=lambda item: -float(np.dot(users[23][1], item[1])))
+    seen |= {(23, m) for m, _ in best[:40]}
+    expected = [row for user in users for row in brute([user], [item for item in items if (user[0], item[0]) not in seen], 5)]
+    pairs = spark.createDataFrame([*seen, *list(seen)[:50]], "userId bigint, movieId bigint")
+    for blocks in ((7, 8), (1024, 4096)):
+        found = score_topn(vectors(spark, users), vectors(spark, items), 5, *blocks, exclude=pairs)
+        assert sorted((r["userId"], r["movieId"], r["rank"]) for r in found.collect()) == sorted(expected)
+
+
+def test_cones_prune_unit_vectors(spark, monkeypatch):
+    """Directions in clusters, all of length 1: a user asks for few of the blocks and the lists are the same."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8))
+
+    def units(count):
+        found = centres[rng.integers(0, 20, count)] + 0.05 * rng.normal(size=(count, 8))
+        return (found / np.linalg.norm(found, axis=1, keepdims=True)).tolist()
+
+    items, users = list(enumerate(units(1000))), list(enumerate(units(60)))
+    asked, score = [], factors._score
+
+    def counted(wanted, *rest):
+        asked.append(wanted.count())
+        return score(wanted, *rest)
+
+    monkeypatch.setattr(factors, "_score", counted)
+    found = score_topn(vectors(spark, users), vectors(spark, items), 5, 16, 50)
+    assert sorted((r["userId"], r["movieId"], r["rank"]) for r in found.collect()) == brute(users, items, 5)
+    blocks = len(factors._dealt(vectors(spark, items), 50)[1].block)
+    assert blocks >= 20 and sum(asked) <= 60 * blocks / 3
+
+
+def test_recommendations_without_seen_items(spark):
+    given = ratings(spark)
+    seen = {(r["userId"], r["movieId"]) for r in given.collect()}
+    found = recommend(given, AlsConfig(rank=3, reg_param=0.1, max_iter=3, top_n=4, exclude_seen=True)).collect()
+    assert not seen & {(r["userId"], r["movieId"]) for r in found}
+    for user in range(12):
+        unseen = 10 - sum(u == user for u, _ in seen)
+        assert [r["rank"] for r in sorted(found, key=lambda r: r["rank"]) if r["userId"] == user] == list(range(1, min(4, unseen) + 1))
+
+
 def test_fewer_items_than_asked(spark):
     items, users = [(1, [1.0, 0.0]), (2, [0.0, 2.0])], [(7, [1.0, 1.0])]
     found = score_topn(vectors(spark, users), vectors(spark, items), 5)
