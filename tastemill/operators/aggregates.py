@@ -52,6 +52,15 @@ def stat_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return add_stats(stat_sums(after), lost)
 
 
+def change_deltas(changes: DataFrame) -> DataFrame:
+    """What the statistics gain from changed ratings: ``movieId, old, new``, either null where there is none."""
+    old, new = ((F.col(c).cast("decimal(2,1)") * 10).cast("bigint") for c in ("old", "new"))
+    zero = F.lit(0).cast("bigint")
+    return changes.groupBy("movieId").agg(
+        F.sum(F.coalesce(new, zero) - F.coalesce(old, zero)).alias("sum10"),
+        F.sum(F.col("new").isNotNull().cast("bigint") - F.col("old").isNotNull().cast("bigint")).alias("n"))
+
+
 def add_stats(sums: DataFrame, deltas: DataFrame) -> DataFrame:
     return sums.unionByName(deltas).groupBy("movieId").agg(F.sum("sum10").alias("sum10"), F.sum("n").alias("n"))
 

@@ -26,6 +26,7 @@ CATALOGUE_UPDATES = ("title", "genres", "year", "imdbId", "tmdbId")
 METADATA_UPDATES = ("title", "originalTitle", "genres", "year", "director", "actors", "description", "posterUrl")
 STAT_COLUMNS = ("avgRating", "ratingCount")
 
+_LONE = "row_without_key"
 
 _DIGITS = {"tinyint": 4, "smallint": 6, "int": 11, "bigint": 20}
 
@@ -103,6 +104,7 @@ def upsert(
     touch: str = "changed",
     keep_newer: bool = False,
     small_updates: bool = False,
+    unique_updates: bool = False,
 ) -> DataFrame:
     """``target`` with ``updates`` merged in by ``keys``.
 
@@ -112,9 +114,11 @@ def upsert(
     its values changes, or every time with ``touch="always"``. ``keep_newer`` leaves a stored row
     alone that is later by ``order_by`` than the update, so batches may arrive in any order.
 
-    Updates without a complete key are each inserted: a unique key admits many missing ones.
+    Updates without a complete key are each inserted: a unique key admits many missing ones. Where keys may be missing,
+    rows of either side carry a number beside the key, 0 for whole keys and otherwise their own, so rows that match nothing
+    spread over the partitions. ``unique_updates`` says that no key is given twice, so updates are not reduced.
 
-    One full outer join by default. ``small_updates`` is for a batch known to be far smaller than the
+    One full outer join by default, which reads either input once. ``small_updates`` is for a batch known to be far smaller than the
     target: joins whose update side Spark can broadcast, so the target is not shuffled; if the batch
     turns out large the same joins run shuffled and the result is the same.
     """
@@ -144,37 +148,58 @@ def upsert(
 
     columns = [merged(name).cast(kinds[name]).alias(name) for name in target.columns]
     whole = reduce(and_, [F.col(key).isNotNull() for key in keys])
-    fresh = latest_per_key(updates.where(whole), keys, order_by)
-    # Nothing matches a missing key: such rows stay and are added as they are, and are kept out of the joins,
-    # where they would all meet in one partition.
-    keyless = target.where(~whole)
+    certain = not any(df.schema[key].nullable for df in (target, updates) for key in keys)
+    lone = [] if certain else [_LONE]
+    by = [*keys, *lone]
+
+    def told_apart(df: DataFrame) -> DataFrame:
+        return df if certain else df.withColumn(_LONE, F.when(whole, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+
+    fresh = told_apart(updates)
+    if not unique_updates:
+        fresh = latest_per_key(fresh, by, order_by)
+    u = fresh.withColumn("given", F.lit(True)).alias("u")
+    t = told_apart(target).withColumn("stored", F.lit(True)).alias("t")
+    if not small_updates and (update_cols or touch == "always"):
+        return t.join(u, _same_key(by), "full_outer").select(*columns)
 
     def inserted(rows: DataFrame) -> DataFrame:
         # Against an empty target the join is only a projection that fills its columns with nulls.
-        empty = target.withColumn("stored", F.lit(True)).alias("t").limit(0)
-        return rows.withColumn("given", F.lit(True)).alias("u").join(empty, _same_key(keys), "left").select(*columns)
+        return rows.withColumn("given", F.lit(True)).alias("u").join(t.limit(0), _same_key(by), "left").select(*columns)
 
-    loose = inserted(updates.where(~whole))
-    t = target.where(whole).withColumn("stored", F.lit(True)).alias("t")
+    known = target.where(whole).select(*keys, *(F.lit(0).cast("bigint").alias(name) for name in lone))
     if not update_cols and touch != "always":
         # Stored rows can not change, so only new keys are looked for.
-        known = inserted(fresh.join(target.where(whole).select(*keys), list(keys), "left_anti"))
-        return target.unionByName(known).unionByName(loose)
-    u = fresh.withColumn("given", F.lit(True)).alias("u")
-    if not small_updates:
-        joined = t.join(u, _same_key(keys), "full_outer").select(*columns)
-        return joined.unionByName(keyless).unionByName(loose)
+        return target.unionByName(inserted(fresh.join(known, by, "left_anti")))
+    kept = t.join(u, _same_key(by), "left").select(*columns)
+    hits = known.join(fresh.select(*by), by, "left_semi")
+    return kept.unionByName(inserted(fresh.join(hits, by, "left_anti")))
+
+
+def touched_rows(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows whose key is among the updates'."""
+    return target.join(updates.select(*keys).distinct(), list(keys), "left_semi").select(*target.columns)
 
-    kept = t.join(u, _same_key(keys), "left").select(*columns)
-    hits = target.select(*keys).join(fresh.select(*keys), list(keys), "left_semi")
-    added = inserted(fresh.join(hits, list(keys), "left_anti"))
-    return kept.unionByName(added).unionByName(keyless).unionByName(loose)
 
+def changed_values(target: DataFrame, updates: DataFrame, keys: Sequence[str], value: str, order_by: Sequence[str] = ()) -> DataFrame:
+    """What a merge does to one column: ``old`` and ``new`` of every key the updates touch, ``old`` null for new keys.
 
-def assign_ids(updates: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Add the next free ``id`` of ``target`` to updates with an unknown ``key``, in key order."""
+    ``target`` is read once, and rows without an update leave before anything is shuffled if the updates can be broadcast.
+    """
+    whole = reduce(and_, [F.col(key).isNotNull() for key in keys])
+    fresh = latest_per_key(updates.where(whole).select(*dict.fromkeys([*keys, value, *order_by])), keys, order_by)
+    hits = touched_rows(target.select(*keys, F.col(value).alias("old")), fresh, keys)
+    return fresh.select(*keys, F.col(value).alias("new")).join(hits, list(keys), "left").select(*keys, "old", "new")
+
+
+def assign_ids(updates: DataFrame, target: DataFrame, key: str, last: Column | None = None) -> DataFrame:
+    """Add the next free ``id`` of ``target`` to updates with an unknown ``key``, in key order.
+
+    With ``last``, the highest id so far, ``target`` needs only its rows with a key of the updates.
+    """
     unknown = updates.select(key).where(F.col(key).isNotNull()).distinct().join(target.select(key), key, "left_anti")
-    last = target.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("id")).scalar()
+    if last is None:
+        last = target.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint")).alias("id")).scalar()
     numbered = dense_index(unknown, key, "id").withColumn("id", F.col("id") + 1 + last)
     return updates.drop("id").join(numbered, key, "left")
 
@@ -203,19 +228,20 @@ def upsert_ratings(rating: DataFrame, updates: DataFrame, now: Column | None = N
 
 
 def upsert_recommendations(old: DataFrame, new: DataFrame, mode: str = "replace_algorithm",
-                           algorithm: str = fixed.ALGORITHM) -> DataFrame:
-    """Publish a run of recommendations.
+                           algorithm: str = fixed.ALGORITHM, unique: bool = False) -> DataFrame:
+    """Publish a run of recommendations; ``unique`` says that it names no user and movie twice, as a ranked run does not.
 
     ``merge`` updates score, rank and time by user, movie and algorithm and keeps rows the run does
     not mention. ``replace_algorithm`` drops all earlier rows of the run's algorithm, so ranks stay
     gapless; it only filters the stored table.
     """
     if mode == "merge":
-        return upsert(old, new, RECOMMENDATION_KEY, ["score", "rank", "created_at"], order_by=["created_at"])
+        return upsert(old, new, RECOMMENDATION_KEY, ["score", "rank", "created_at"], order_by=["created_at"], unique_updates=unique)
     if mode != "replace_algorithm":
         raise ValueError(f"unknown mode {mode}")
     kept = old.where(~F.col("algorithm").eqNullSafe(F.lit(algorithm)))
-    fresh = latest_per_key(new.select(*old.columns), RECOMMENDATION_KEY, ["created_at"])
+    fresh = new.select(*old.columns)
+    fresh = fresh if unique else latest_per_key(fresh, RECOMMENDATION_KEY, ["created_at"])
     return kept.unionByName(conform(fresh, old.schema))
 
 
@@ -223,9 +249,9 @@ def metadata_columns(overwrite_stats: bool = True) -> tuple[str, ...]:
     return METADATA_UPDATES + STAT_COLUMNS if overwrite_stats else METADATA_UPDATES
 
 
-def stage_metadata(batch: DataFrame, movie: DataFrame) -> DataFrame:
-    """Item events ready to be merged: source set, new items with an id."""
-    return assign_ids(batch, movie, "tmdbId").withColumn("source", F.lit(fixed.SOURCE_FEED))
+def stage_metadata(batch: DataFrame, movie: DataFrame, last: Column | None = None) -> DataFrame:
+    """Item events ready to be merged: source set, new items with an id (see ``assign_ids``)."""
+    return assign_ids(batch, movie, "tmdbId", last).withColumn("source", F.lit(fixed.SOURCE_FEED))
 
 
 def upsert_metadata(movie: DataFrame, batch: DataFrame, now: Column | None = None, overwrite_stats: bool = True,

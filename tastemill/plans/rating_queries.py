@@ -378,8 +378,8 @@ def delta_stats(spark, folder):
     """Statistics before a cutoff plus what later ratings changed: the statistics of the table now."""
     log = warehouse.rating_log(spark, folder)
     before = upsert.latest_per_key(log.where(F.col("timestamp") < CUTOFF), upsert.RATING_KEY, ["timestamp", "seq"])
-    after = upsert.latest_per_key(log, upsert.RATING_KEY, ["timestamp", "seq"])
-    sums = aggregates.add_stats(aggregates.stat_sums(before), aggregates.stat_deltas(before, after))
+    changes = upsert.changed_values(before, log.where(F.col("timestamp") >= CUTOFF), upsert.RATING_KEY, "rating", ["timestamp", "seq"])
+    sums = aggregates.add_stats(aggregates.stat_sums(before), aggregates.change_deltas(changes))
     return plain(aggregates.finish_stats(sums))
 
 
@@ -409,12 +409,12 @@ SELECT COALESCE(f.userId, o.userId) AS userId, COALESCE(f.movieId, o.movieId) AS
        COALESCE(f.created_at, o.created_at) AS created_at
 FROM old o FULL JOIN fresh f ON f.userId = o.userId AND f.movieId = o.movieId""")
 def upsert_recommendations(spark, folder):
-    return plain(upsert.upsert_recommendations(*two_runs(spark, folder), mode="merge"))
+    return plain(upsert.upsert_recommendations(*two_runs(spark, folder), mode="merge", unique=True))
 
 
 @query("replace_recommendations", f"WITH {RUNS} SELECT * FROM fresh")
 def replace_recommendations(spark, folder):
-    return plain(upsert.upsert_recommendations(*two_runs(spark, folder)))
+    return plain(upsert.upsert_recommendations(*two_runs(spark, folder), unique=True))
 
 
 @query("explode_recs", f"WITH {RECS} SELECT userId, movieId, score FROM recs")

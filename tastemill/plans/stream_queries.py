@@ -15,6 +15,7 @@ from tastemill.plans.registry import plain, query
 from tastemill.plans.sql import EVENT, MOVIE, STREAM_RATING, stats
 from tastemill.session import work_dir
 from tastemill.sources import warehouse
+from tastemill.sources.files import stream_text
 from tastemill.streaming import ingest
 
 EVENT_COLUMNS = schemas.RATING_EVENT.names
@@ -113,12 +114,59 @@ def stream_items(spark, folder):
     items = flatten_items(warehouse.item_documents(warehouse.stream_table(spark, folder, "part")))
     messages = to_message(items.withColumn("tmdbId", F.concat(F.lit("t"), "tmdbId")))
     source = ingest.item_stream(parse_message(messages, schemas.ITEM_EVENT))
-    writer = ingest.items_batch(movies, f"{base}/rejects", now=warehouse.moment(warehouse.NOW))
+    writer = ingest.items_batch(movies, f"{base}/rejects", now=warehouse.moment(warehouse.NOW), ids=ingest.id_store(spark, base))
     checkpoint = ingest.checkpoint_dir(f"{base}/checkpoints", "movies-ingest")
     ingest.start_ingest(source, writer, checkpoint, trigger=None).awaitTermination()
     return plain(movies.read())
 
 
+LATE_PARTS, LATE_DELAY = 3, 30 * 86400
+
+
+@query("stream_late_ratings", f"""WITH {EVENT},
+parts AS (SELECT *, event_id % {LATE_PARTS} AS part FROM event WHERE event_type <> 'error'),
+marks AS (
+  SELECT p.part, max(t.timestamp) - {LATE_DELAY} AS mark
+  FROM (SELECT DISTINCT part FROM parts) p LEFT JOIN parts t ON t.part < p.part GROUP BY p.part),
+told AS (SELECT userId, movieId, rating, timestamp, COALESCE(timestamp < mark, FALSE) AS late FROM parts JOIN marks USING (part)),
+kept AS (
+  SELECT userId, movieId, CAST(CAST(rating AS DECIMAL(2,1)) AS DOUBLE) AS rating, timestamp, late FROM told WHERE NOT late
+  QUALIFY row_number() OVER (PARTITION BY userId, movieId ORDER BY timestamp DESC, told.rating DESC) = 1)
+SELECT * FROM kept UNION ALL SELECT userId, movieId, rating, timestamp, late FROM told WHERE late""")
+def stream_late_ratings(spark, folder):
+    """The events arrive in three batches. Those behind the clock are set aside with their text, the others are stored:
+    together all events there are, but for ratings given again."""
+    base = work_dir(spark, "late")
+    ledger = ingest.Ledger(ingest.ingest_counts_store(spark, base, "ratings"), ingest.clock_store(spark, base), LATE_DELAY, f"{base}/late")
+    writer = ingest.ratings_batch(ingest.rating_store(spark, base), ingest.sums_store(spark, base), f"{base}/rejects",
+                                  now=warehouse.moment(warehouse.NOW), ledger=ledger)
+    events = warehouse.table(spark, folder, "events")
+    for part in range(LATE_PARTS):  # the stream takes what has arrived since its last run as one batch
+        arrived = events.where(F.pmod("event_id", F.lit(LATE_PARTS)) == part)
+        warehouse.rating_messages(arrived).select(F.col("value").cast("string")).write.mode("append").text(f"{base}/in")
+        parsed = parse_message(stream_text(spark, f"{base}/in"), schemas.RATING_EVENT)
+        ingest.start_ingest(ingest.rating_stream(parsed), writer, f"{base}/checkpoint", trigger=None).awaitTermination()
+    kept = ingest.rating_store(spark, base).read().select(*EVENT_COLUMNS).withColumn("late", F.lit(False))
+    late = parse_message(spark.read.schema("value string").text(f"{base}/late"), schemas.RATING_EVENT).drop("raw")
+    return plain(kept).unionByName(late.withColumn("late", F.lit(True)))
+
+
+@query("stream_both_counts", f"""WITH {EVENT}
+SELECT 'ratings' AS stream, count(*) FILTER (event_type <> 'error') AS imported, count(*) FILTER (event_type = 'error') AS rejected,
+       CAST(0 AS BIGINT) AS late FROM event
+UNION ALL SELECT 'items', count(*) FILTER (p_size <> 9), count(*) FILTER (p_size = 9), 0 FROM part""")
+def stream_both_counts(spark, folder):
+    """Both streams side by side, one row for each with what became of its messages."""
+    base = work_dir(spark, "both")
+    ratings = warehouse.rating_messages(warehouse.stream_table(spark, folder, "events"))
+    part = warehouse.stream_table(spark, folder, "part")
+    items = to_message(flatten_items(warehouse.item_documents(part.where("p_size <> 9"))))
+    broken = part.where("p_size = 9").select(F.concat(F.lit("broken "), "p_partkey").cast("binary").alias("value"))
+    sources = parse_message(ratings, schemas.RATING_EVENT), parse_message(items.unionByName(broken), schemas.ITEM_EVENT)
+    ingest.supervise(ingest.start_all_streams(*sources, base, f"{base}/checkpoints", trigger=None, now=warehouse.moment(warehouse.NOW)))
+    return ingest.ingest_totals(spark, base)
+
+
 @query("stream_resolve_ids", f"""WITH {EVENT}, {MOVIE}
 SELECT event.userId, 't' || event.movieId AS tmdbId, event.rating, movie.id AS movieId
 FROM event JOIN movie ON movie.tmdbId = 't' || event.movieId""")

@@ -46,6 +46,12 @@ ITEM_DOCUMENT = struct(
 # Ratings of a movie: their sum in tenths and their number.
 STAT_SUMS = struct(movieId=LONG, sum10=LONG, n=LONG)
 
+INGEST_CLOCK = struct(stream=TEXT, latest=LONG)
+
+INGEST_COUNTS = struct(stream=TEXT, batch=TEXT, imported=LONG, rejected=LONG, late=LONG)
+
+LAST_ID = struct(table=TEXT, last=LONG)
+
 TREND_COUNTS = struct(start=MOMENT, movieId=LONG, n=LONG)
 
 

@@ -33,16 +33,38 @@ def test_merge_and_replay(spark, folder):
     assert rows(table.read(before=2)) == [(1, "a"), (2, "b")]
 
 
-def test_only_touched_buckets_are_written(spark, folder):
+def written(spark, folder, commit):
+    return spark.read.parquet(f"{folder}/t/{commit}").count()
+
+
+def test_a_batch_writes_its_own_rows(spark, folder):
     table = open_table(spark, folder, buckets=16)
-    table.write(spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("v")), 0)
-    update = make(spark, (3, "y"))
+    table.write(spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("v")), 0)
+    update = spark.range(1990, 2020).select(F.col("id").alias("k"), F.lit("y").alias("v"))
     table.merge(update, 1, ["v"])
-    written = [name for name in os.listdir(f"{folder}/t/v=1.1") if name.startswith("bucket=")]
-    assert written == [f"bucket={bucket}" for bucket in table.touched(update)]
-    assert table.read().count() == 200
-    assert rows(table.read().where("v = 'y'")) == [(3, "y")]
-    assert table.read(buckets=table.touched(update)).count() < 200
+    assert written(spark, folder, "v=1.1") == 30
+    assert table.read().count() == 2020 and table.read().where("v = 'y'").count() == 30
+    one = make(spark, (3, "z"))
+    files = table.read(of=one).inputFiles()
+    assert {name.split("bucket=")[1].split("/")[0] for name in files if "bucket=" in name} == {
+        str(r[0]) for r in one.select(table.bucket()).collect()}
+    assert rows(table.read(of=one)) == [(3, "x")]
+    table.merge(one, 2, ["v"])
+    table.compact("whole")
+    before = rows(table.read())
+    table.merge(make(spark, (3, "again")), 3, ["v"])
+    assert written(spark, folder, "v=4.3") == 1
+    assert rows(table.read()) == sorted([row for row in before if row[0] != 3] + [(3, "again")], key=repr)
+
+
+def test_updates_without_a_key_are_kept_apart(spark, folder):
+    table = open_table(spark, folder)
+    table.merge(make(spark, (None, "a"), (None, "a"), (1, "b")), 0, ["v"])
+    table.merge(make(spark, (None, "c"), (1, "d")), 1, ["v"])
+    assert rows(table.read()) == [(1, "d"), (None, "a"), (None, "a"), (None, "c")]
+    table.compact("whole")
+    table.merge(make(spark, (None, "e")), 2, ["v"])
+    assert rows(table.read()) == [(1, "d"), (None, "a"), (None, "a"), (None, "c"), (None, "e")]
 
 
 def test_unfinished_version_is_ignored_and_written_again(spark, folder):
@@ -65,6 +87,7 @@ def test_compact_and_expire(spark, folder):
     table.expire(keep=1)
     assert table.commits() == ["0", "1", "2", "3", "compacted"] and rows(table.read()) == before
     assert sorted(os.listdir(f"{folder}/t/v=0.0")) == ["._SUCCESS.crc", "_SUCCESS"]
+    assert os.path.exists(f"{folder}/t/s=4.compacted/_SUCCESS")
     table.merge(make(spark, (0, "never")), 3, ["v"])  # replayed after its data is gone
     table.merge(make(spark, (9, "later")), 4, ["v"])
     assert rows(table.read()) == sorted([*before, (9, "later")], key=repr)
@@ -82,7 +105,7 @@ def test_null_keys_are_spread(spark, folder):
     schema = schemas.struct(k=schemas.TEXT, id=schemas.LONG)
     table = KeyedTable(spark, folder + "/t", schema, ["k"], 8, spread="id")
     table.write(spark.range(100).select(F.lit(None).cast("string").alias("k"), "id"), 0)
-    buckets = [name for name in os.listdir(f"{folder}/t/v=0.0") if name.startswith("bucket=")]
+    buckets = [name for name in os.listdir(f"{folder}/t/s=0.0") if name.startswith("bucket=")]
     assert len(buckets) == 8 and table.read().count() == 100
 
 

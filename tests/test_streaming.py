@@ -84,7 +84,7 @@ def test_older_rating_arriving_later_is_ignored(spark, folder):
 
 def test_replayed_batch_changes_nothing(spark, folder):
     ratings, totals = ingest.rating_store(spark, folder, 2), ingest.sums_store(spark, folder, 2)
-    write = ingest.ratings_batch(ratings, totals)
+    write = ingest.ratings_batch(ratings, totals, query="batch")
     batch = spark.createDataFrame([(1, 1, 4.0, T0, "")], "userId bigint, movieId bigint, rating double, timestamp bigint, raw string")
     write(batch, 0)
     first = (stored(spark, folder), sums(spark, folder))
@@ -126,6 +126,53 @@ def test_reject_stream(spark, folder):
     assert [r[0] for r in spark.read.text(f"{folder}/out").collect()] == ["junk"]
 
 
+def test_a_batch_outside_a_stream_needs_a_name(spark, folder):
+    with pytest.raises(ValueError):
+        ingest.ratings_batch(ingest.rating_store(spark, folder), ingest.sums_store(spark, folder))(spark.range(1), 0)
+
+
+def test_a_batch_writes_the_rows_it_touches(spark, folder):
+    put(f"{folder}/in", 0, [rating(u, 1, 3.0, T0) for u in range(500)])
+    run(spark, folder)
+    ingest.rating_store(spark, folder, 2).compact("whole")
+    put(f"{folder}/in", 1, [rating(u, 1, 4.0, T0 + 9) for u in range(490, 520)])
+    run(spark, folder)
+    last = ingest.rating_store(spark, folder, 2).commits()[-1]
+    (name,) = [x for x in os.listdir(f"{folder}/rating") if x.endswith(last)]
+    assert spark.read.parquet(f"{folder}/rating/{name}").count() == 30
+    assert len(stored(spark, folder)) == 520 and sums(spark, folder) == {1: (490 * 30 + 30 * 40, 520)}
+
+
+def test_late_rows_are_kept_and_counted(spark, folder):
+    """An event more than ten minutes behind the latest of all earlier batches is late; a replay says so again."""
+    hour = T0 + 3600
+    batches = [[(1, 1, hour), (1, 2, T0)], [(1, 3, T0), (1, 4, hour - 600)], [(1, 5, hour - 601), (1, 6, hour + 9000)], [(1, 7, hour)]]
+    ledger = ingest.Ledger(ingest.ingest_counts_store(spark, folder, "ratings"), ingest.clock_store(spark, folder), 600, f"{folder}/late")
+    write = ingest.ratings_batch(ingest.rating_store(spark, folder, 2), ingest.sums_store(spark, folder, 2), ledger=ledger, query="q")
+    for repeat in (0, 1):
+        for k, events in enumerate(batches):
+            rows = [(u, m, 3.0, t, f"{m}") for u, m, t in events]
+            write(spark.createDataFrame(rows, "userId bigint, movieId bigint, rating double, timestamp bigint, raw string"), k)
+        assert sorted(m for _, m in stored(spark, folder)) == [1, 2, 4, 6]
+        assert sorted(r.value for r in spark.read.text(f"{folder}/late").collect()) == ["3", "5", "7"]
+        counts = ledger.counts.read().agg(F.sum("imported"), F.sum("rejected"), F.sum("late")).first()
+        assert tuple(counts) == (4, 0, 3)
+
+
+def test_a_failing_stream_stops_the_other(spark, folder):
+    put(f"{folder}/a", 0, ["x"])
+    put(f"{folder}/b", 0, ["y"])
+
+    def fails(batch, batch_id):
+        raise RuntimeError("broken sink")
+
+    started = [ingest.start_ingest(stream_text(spark, f"{folder}/{name}"), fn, f"{folder}/cp-{name}", "1 second")
+               for name, fn in (("a", lambda batch, batch_id: None), ("b", fails))]
+    with pytest.raises(Exception, match="broken sink"):
+        ingest.supervise(started)
+    assert not any(query.isActive for query in started)
+
+
 def test_unknown_modes(spark):
     with pytest.raises(ValueError):
         ingest.dedup(spark.range(1), ["id"], "other")
@@ -150,8 +197,9 @@ def test_items_and_both_streams(spark, folder):
     put(f"{folder}/in", 0, [rating(5, 1, 4.0, T0), "junk"])
     sources = [parse_message(stream_text(spark, f"{folder}/{name}", 1), schema)
                for name, schema in (("in", schemas.RATING_EVENT), ("items", schemas.ITEM_EVENT))]
-    for query in ingest.start_all_streams(*sources, folder, f"{folder}/cp", trigger=None, buckets=2):
-        query.awaitTermination()
+    ingest.supervise(ingest.start_all_streams(*sources, folder, f"{folder}/cp", trigger=None, buckets=2))
+    totals = {r.stream: (r.imported, r.rejected, r.late) for r in ingest.ingest_totals(spark, folder).collect()}
+    assert totals == {"ratings": (1, 1, 0), "items": (2, 3, 0)}
     shown = ingest.current_movies(movies.read(), ingest.sums_store(spark, folder, 2).read())
     rows = {r["id"]: (r["title"], r["tmdbId"], r["source"], None if r["avgRating"] is None else float(r["avgRating"]))
             for r in shown.collect()}
@@ -214,5 +262,5 @@ def test_the_later_event_of_an_item_counts(spark, folder):
                                    "tmdbId string, title string, at int")
     batch = events.select(*(F.col(c) if c in ("tmdbId", "title") else columns[c] for c in columns),
                           F.timestamp_seconds("at").alias("eventTime"), F.lit("").alias("raw"))
-    ingest.items_batch(movies)(batch, 0)
+    ingest.items_batch(movies, query="batch")(batch, 0)
     assert sorted((r["tmdbId"], r["title"]) for r in movies.read().collect()) == [("t1", "Alpha new"), ("t2", "Same")]
