@@ -6,7 +6,7 @@ at its reducer as one small row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tastemill import fixed
@@ -72,6 +72,21 @@ def dataset_profile(ratings: DataFrame, approximate: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("ratings"), distinct("userId").alias("users"), distinct("movieId").alias("movies"))
 
 
+def daily_sketches(ratings: DataFrame, precision: int = 14) -> DataFrame:
+    """Per day: number of ratings, and sketches of the users and movies in them, which can be united for any span."""
+    day = F.timestamp_seconds("timestamp").cast("date")
+    return ratings.groupBy(day.alias("day")).agg(
+        F.count(F.lit(1)).alias("ratings"),
+        F.hll_sketch_agg("userId", F.lit(precision)).alias("users"), F.hll_sketch_agg("movieId", F.lit(precision)).alias("movies"))
+
+
+def united_profile(days: DataFrame, span: Column) -> DataFrame:
+    """Ratings, and estimates of users and movies, of every span of days, from the days' sketches alone."""
+    return days.groupBy(span.alias("span")).agg(
+        F.sum("ratings").alias("ratings"),
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.hll_sketch_estimate(F.hll_union_agg("movies")).alias("movies"))
+
+
 def distinct_user_ids(ratings: DataFrame) -> DataFrame:
     """User ids that parse as whole numbers, each once."""
     user = F.col("userId").try_cast("bigint")

@@ -109,6 +109,18 @@ def trending_counts(events: DataFrame, window: str = "1 day") -> DataFrame:
     )
 
 
+def trending_closed(events: DataFrame, window: str = "1 day", k: int = 10) -> DataFrame:
+    """The ``k`` movies with the most ratings of each span, for a stream in append mode with a watermark on ``eventTime``.
+
+    Counts and lists are both kept until the watermark passes the end of their span; then the list comes once.
+    """
+    counts = events.groupBy(F.window("eventTime", window), "movieId").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct("n", (-F.col("movieId")).alias("lower"))
+    best = counts.groupBy("window").agg(F.slice(F.sort_array(F.collect_list(entry), asc=False), 1, k).alias("best"))
+    return best.select(F.col("window.start").alias("start"), F.posexplode("best").alias("at", "entry")).select(
+        "start", (F.col("at") + 1).alias("place"), (-F.col("entry.lower")).alias("movieId"), F.col("entry.n").alias("n"))
+
+
 def recs_with_fallback(users: DataFrame, recs: DataFrame, movie: DataFrame, k: int = 8,
                        algorithm: str = fixed.ALGORITHM) -> DataFrame:
     """The first ``k`` recommendations of every user; the ``k`` best rated movies for users without any."""

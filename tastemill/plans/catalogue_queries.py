@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tastemill import schemas
 from tastemill.functions import numbers, text, times
 from tastemill.functions.documents import flatten_items
-from tastemill.operators import aggregates, feeds, filters, integrity, joins, ranking, upsert
+from tastemill.operators import aggregates, feeds, filters, integrity, joins, pages, ranking, upsert
 from tastemill.operators.similar import similar_items
 from tastemill.plans.importer import import_files
 from tastemill.plans.registry import plain, query
@@ -218,6 +218,46 @@ def csv_catalogue(spark, folder):
     return joins.stage_movies(parsed, links)
 
 
+@query("malformed_lines", f"""WITH {RATING_LOG}, lines AS (
+  SELECT seq, userId || ',' || movieId || ',' || rating AS line, timestamp FROM rating_log)
+SELECT 'ratings' AS file, CASE seq % 10 WHEN 7 THEN line ELSE line || ',' || timestamp || ',' || seq END AS line
+FROM lines WHERE seq % 10 IN (6, 7)""")
+def malformed_lines(spark, folder):
+    """Lines of the rating file with a field too few or too many, as they are; all others are read."""
+    base = work_dir(spark, "lines")
+    log = warehouse.rating_log(spark, folder)
+    turn = F.col("seq") % 10
+    line = F.concat_ws(",", "userId", "movieId", F.col("rating").cast("string"), F.when(turn != 7, F.col("timestamp")),
+                       F.when(turn == 6, F.col("seq")))
+    # Lines are written as they are: one column named like the header, with a separator that no line has.
+    log.select(line.alias("userId,movieId,rating,timestamp")).write.csv(f"{base}/ratings.csv", header=True, sep="\u0001")
+    read = {"ratings": files.read_csv(spark, f"{base}/ratings.csv", schemas.RATINGS_CSV, malformed=True)}
+    clean, lines = files.split_malformed(read)
+    if clean["ratings"].count() + lines.count() != log.count():
+        raise AssertionError("a line was lost")
+    return lines
+
+
+def one_page(spark, df, order, page, size):
+    """A page by the directory of a list stored in this order."""
+    path = work_dir(spark, "pages")
+    pages.store_pages(df, order, path)
+    return pages.read_page(spark, path, page, size)
+
+
+@query("deep_pages", f"""WITH {RATED_MOVIE}, sorted AS (
+  SELECT 'avgRating' AS list, id, row_number() OVER (ORDER BY avgRating DESC NULLS LAST, id) - 1 AS position FROM rated
+  UNION ALL SELECT 'year', id, row_number() OVER (ORDER BY year DESC NULLS LAST, id) - 1 FROM rated
+  UNION ALL SELECT 'title', id, row_number() OVER (ORDER BY strip_accents(lower(title)) NULLS FIRST, id) - 1 FROM rated)
+SELECT * FROM sorted WHERE position BETWEEN 160 AND 179""")
+def deep_pages(spark, folder):
+    """Page 9 of the catalogue in each of its orders."""
+    movies = warehouse.rated_movie(spark, folder)
+    return reduce(DataFrame.unionByName, [
+        one_page(spark, movies, ranking.movie_order(sort), 9, 20).select(F.lit(sort).alias("list"), "id", "position")
+        for sort in ("avgRating", "year", "title")])
+
+
 FIRST_LOAD = f"""{RATING_LOG},
 lines AS (SELECT *, CASE WHEN seq % 10 = 7 THEN NULL ELSE rating END AS given FROM rating_log),
 rating AS (

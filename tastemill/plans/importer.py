@@ -18,6 +18,7 @@ from tastemill.operators.upsert import (
     upsert_users,
 )
 from tastemill.session import enable_checkpoints
+from tastemill.sources.files import split_malformed
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Imported:
     rejected_movies: DataFrame
     rejected_ratings: DataFrame
     unmapped_ratings: DataFrame
+    malformed: DataFrame | None = None  # file and text of lines with too few or too many fields, if the files tell
 
 
 def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame, rating: DataFrame,
@@ -42,6 +44,7 @@ def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame,
     """
     enable_checkpoints(user.sparkSession)
     moment = F.current_timestamp() if now is None else now
+    files, malformed = split_malformed(files)
     movies, bad_movies = parse_or_reject(files["movies"], {"movieId": "bigint"})
     links, _ = parse_or_reject(files["links"], {"movieId": "bigint"})
     ratings, bad_ratings = parse_or_reject(
@@ -56,4 +59,4 @@ def import_files(files: dict[str, DataFrame], user: DataFrame, movie: DataFrame,
     all_ratings = upsert_ratings(rating, resolve_ids(ratings, all_users, all_movies), moment)
     rated_movies = apply_movie_stats(all_movies, movie_stats(all_ratings), moment)
     return Imported(all_users, rated_movies, all_ratings, bad_movies, bad_ratings,
-                    unmapped(ratings, all_users, all_movies))
+                    unmapped(ratings, all_users, all_movies), malformed)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tastemill import schemas
 from tastemill.functions import numbers, times
-from tastemill.operators import aggregates, als, filters, integrity, joins, ranking, upsert
+from tastemill.operators import aggregates, als, filters, integrity, joins, pages, ranking, upsert
+from tastemill.session import work_dir
 from tastemill.plans.registry import plain, query
 from tastemill.plans.sql import (
     CUTOFF,
@@ -53,6 +54,34 @@ def dataset_profile(spark, folder):
     return aggregates.dataset_profile(warehouse.rating_log(spark, folder))
 
 
+@query("sketched_profile", f"""WITH {RATING_LOG}
+SELECT CAST(year(make_timestamp(timestamp * 1000000)) AS INTEGER) AS span, count(*) AS ratings, TRUE AS users, TRUE AS movies
+FROM rating_log GROUP BY 1""")
+def sketched_profile(spark, folder):
+    """Users and movies of every year estimated from the sketches of its days: within 3 % of the exact counts."""
+    log = warehouse.rating_log(spark, folder)
+    years = aggregates.united_profile(aggregates.daily_sketches(log), F.year("day"))
+    exact = log.groupBy(F.year(F.timestamp_seconds("timestamp")).alias("span")).agg(
+        F.count_distinct("userId").alias("all_users"), F.count_distinct("movieId").alias("all_movies"))
+
+    def near(name):
+        return (F.abs(F.col(name) - F.col(f"all_{name}")) <= 0.03 * F.col(f"all_{name}") + 0.5).alias(name)
+
+    return years.join(exact, "span").select("span", "ratings", near("users"), near("movies"))
+
+
+@query("ratings_page_1000", f"""WITH {RATINGS}
+SELECT userId, movieId, timestamp, position FROM (
+  SELECT *, row_number() OVER (ORDER BY timestamp DESC, movieId, userId) - 1 AS position FROM rating)
+WHERE position BETWEEN 4995 AND 4999""")
+def ratings_page_1000(spark, folder):
+    """Page 1000 of all ratings, the newest first, in pages of 5."""
+    path = work_dir(spark, "pages")
+    newest = [F.col("timestamp").desc_nulls_last(), F.col("movieId"), F.col("userId")]
+    pages.store_pages(warehouse.rating(spark, folder).select("userId", "movieId", "timestamp"), newest, path)
+    return pages.read_page(spark, path, 1000, 5)
+
+
 @query("sample_users", f"WITH {RATING_LOG} SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating "
        "FROM rating_log WHERE userId <= 1000")
 def sample_users(spark, folder):

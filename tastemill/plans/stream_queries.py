@@ -9,7 +9,7 @@ from tastemill.functions.documents import flatten_items, parse_message, to_messa
 from tastemill.functions.times import event_time
 from tastemill.operators.aggregates import finish_stats
 from tastemill.operators.joins import resolve_stream_ids
-from tastemill.operators.ranking import trending_counts
+from tastemill.operators.ranking import trending_closed, trending_counts
 from tastemill.plans.catalogue_queries import METADATA_SQL
 from tastemill.plans.registry import plain, query
 from tastemill.plans.sql import EVENT, MOVIE, STREAM_RATING, stats
@@ -89,6 +89,14 @@ def stream_dedup_first(spark, folder):
     return ingest.rating_store(spark, base).read().select("userId", "movieId")
 
 
+@query("stream_dedup_within", f"WITH {EVENT} SELECT DISTINCT userId, movieId FROM event WHERE event_type <> 'error'")
+def stream_dedup_within(spark, folder):
+    """Repeats within the watermark's delay are dropped, with the state of the keys on disk."""
+    with ingest.disk_state(spark):
+        base = run_ratings(spark, folder, mode="within")
+    return ingest.rating_store(spark, base).read().select("userId", "movieId")
+
+
 @query("stream_movie_stats", f"WITH {STREAM_RATING}, {stats('s', 'stream_rating')} SELECT * FROM s")
 def stream_movie_stats(spark, folder):
     return plain(finish_stats(ingest.sums_store(spark, run_ratings(spark, folder)).read()))
@@ -181,6 +189,21 @@ def stream_resolve_ids(spark, folder):
     return spark.read.schema(resolved.schema).parquet(f"{base}/out")
 
 
+@query("stream_trending_closed", f"""WITH {EVENT},
+counts AS (SELECT timestamp // 86400 * 86400 AS start, movieId, count(*) AS n FROM event GROUP BY 1, 2)
+SELECT start, movieId, n, CAST(row_number() OVER (PARTITION BY start ORDER BY n DESC, movieId) AS INTEGER) AS place
+FROM counts WHERE start + 86400 <= (SELECT max(timestamp) FROM event) - 86400 QUALIFY place <= 10""")
+def stream_trending_closed(spark, folder):
+    """The ten most rated movies of every day that the watermark has passed, each day written once."""
+    base = work_dir(spark, "closed")
+    events = warehouse.rating_events(warehouse.stream_table(spark, folder, "events"))
+    timed = events.withColumn("eventTime", event_time(F.col("timestamp"))).withWatermark("eventTime", "1 day")
+    lists = trending_closed(timed)
+    lists.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(
+        availableNow=True).start(f"{base}/out").awaitTermination()
+    return plain(spark.read.schema(lists.schema).parquet(f"{base}/out"))
+
+
 @query("stream_trending", f"""WITH {EVENT}
 SELECT timestamp // 86400 * 86400 AS start, movieId, count(*) AS n FROM event GROUP BY 1, 2""")
 def stream_trending(spark, folder):

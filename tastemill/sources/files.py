@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,9 +13,33 @@ from tastemill import fixed, schemas
 CSV_SCHEMAS = {"movies": schemas.MOVIES_CSV, "links": schemas.LINKS_CSV, "ratings": schemas.RATINGS_CSV}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV where a quote inside a quoted field is doubled; columns stay text."""
-    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', enforceSchema=False)
+MALFORMED = "malformed"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, malformed: bool = False) -> DataFrame:
+    """Header CSV where a quote inside a quoted field is doubled; columns stay text.
+
+    With ``malformed`` a column of that name holds the text of lines with too few or too many fields, and is null otherwise.
+    """
+    if malformed:
+        schema = T.StructType([*schema, T.StructField(MALFORMED, T.StringType())])
+    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', enforceSchema=False,
+                          columnNameOfCorruptRecord=MALFORMED if malformed else None)
+
+
+def split_malformed(files: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """The files without their malformed lines, and those lines (``file, line``); None if the files were read without."""
+    told = {name: df for name, df in files.items() if MALFORMED in df.columns}
+
+    def part(df: DataFrame, fits: Column) -> DataFrame:
+        # The second half is always true: Spark counts the fields of a line only where all its columns are asked for.
+        fields = [F.col(field.name) for field in df.schema if field.name != MALFORMED and isinstance(field.dataType, T.StringType)]
+        return df.where(fits & (F.concat_ws("", *fields) >= ""))
+
+    lines = [part(df, F.col(MALFORMED).isNotNull()).select(F.lit(name).alias("file"), F.col(MALFORMED).alias("line"))
+             for name, df in told.items()]
+    clean = {name: part(df, F.col(MALFORMED).isNull()).drop(MALFORMED) for name, df in told.items()}
+    return files | clean, reduce(DataFrame.unionByName, lines) if lines else None
 
 
 def with_arrival(files: DataFrame) -> DataFrame:
@@ -23,12 +49,12 @@ def with_arrival(files: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row")))
 
 
-def read_movielens(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_movielens(spark: SparkSession, folder: str, malformed: bool = False) -> dict[str, DataFrame]:
     """The catalogue, link and rating files of one folder (``<name>.csv``, a file or a folder of parts).
 
-    Movies and links keep their order of arrival: of lines with one id the last counts.
+    Movies and links keep their order of arrival: of lines with one id the last counts. ``malformed`` as in ``read_csv``.
     """
-    files = {name: read_csv(spark, f"{folder}/{name}.csv", schema) for name, schema in CSV_SCHEMAS.items()}
+    files = {name: read_csv(spark, f"{folder}/{name}.csv", schema, malformed) for name, schema in CSV_SCHEMAS.items()}
     return files | {name: with_arrival(files[name]) for name in ("movies", "links")}
 
 

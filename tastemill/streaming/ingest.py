@@ -12,7 +12,8 @@ latest event time it has seen, from which the next batch knows what is late.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -101,6 +102,26 @@ def dedup(df: DataFrame, keys: tuple[str, ...] | list[str], mode: str) -> DataFr
     raise ValueError(f"unknown dedup mode {mode}")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started meanwhile keep their state on the executors' disks, not in their memory."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def state_rows(spark: SparkSession, checkpoint: str) -> int:
+    """How many keys the stateful operator of a query holds."""
+    return spark.read.format("statestore").load(checkpoint).count()
+
+
 def _usable_rating() -> Column:
     stars = F.col("rating").try_cast("decimal(2,1)")
     return reduce(and_, [c.isNotNull() for c in (F.col("userId"), F.col("movieId"), stars, F.col("timestamp"))])

@@ -169,6 +169,17 @@ def test_dense_numbers(spark):
     assert dense_index(keys.limit(0), "key", "n").count() == 0
 
 
+def test_the_better_model_is_kept(spark, folder):
+    frame = als.training_frame(ratings(spark))
+    model, cfg, errors = als.choose_model(frame, frame, [AlsConfig(rank=3, reg_param=r, max_iter=3) for r in (5.0, 0.05)])
+    assert cfg.reg_param == 0.05 and errors[1] < errors[0]
+    als.save_model(model, folder, "one")
+    lists = [sorted(map(tuple, als.recommend_all(m, 3).collect())) for m in (model, als.load_model(folder, "one"))]
+    assert lists[0] == lists[1]
+    with pytest.raises(Exception, match="already exists"):
+        als.save_model(model, folder, "one")
+
+
 def test_rmse(spark):
     assert als.rmse(als.training_frame(ratings(spark)), TINY).first()[0] > 0
 

@@ -1,6 +1,7 @@
 """What the plans must and must not contain."""
 
 import contextlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,13 +10,15 @@ import __spark_entry__  # noqa: F401  registers the queries
 from tastemill.operators.aggregates import movie_stats, refresh_stats
 from tastemill.operators.filters import check_ratings, sample_users
 from tastemill.operators.joins import resolve_stream_ids, user_ratings_view, user_recs_view
+from tastemill.operators import pages
 from tastemill.operators.ranking import rank_recommendations
+from tastemill.operators.upsert import changed_values, upsert_ratings
 from tastemill.plans.registry import QUERIES
 from tastemill.sources import warehouse
 
 FOLDER = "/root/testdata/sf0.001"
 # These run jobs while they are built; the pieces they use are covered by the others.
-RUNS_JOBS = {"als_rmse", "als_topn", "als_default_shape", "als_topn_shape", "batch_als", "batch_als_shape", "csv_catalogue", "first_load", "item_json", "ingest_summary", "score_topn", "score_topn_unseen", "als_unseen_shape",
+RUNS_JOBS = {"als_rmse", "als_topn", "als_default_shape", "als_topn_shape", "batch_als", "batch_als_shape", "csv_catalogue", "first_load", "item_json", "ingest_summary", "score_topn", "score_topn_unseen", "als_unseen_shape", "als_time_split", "malformed_lines", "deep_pages", "ratings_page_1000",
              "item_cosine", "similar_items", "upsert_catalogue", "upsert_metadata", "upsert_users"}
 PLAIN = sorted(n for n in QUERIES if n not in RUNS_JOBS and not n.startswith("stream_"))
 
@@ -118,6 +121,34 @@ def test_popular_movie_is_split_next_to_an_aggregate(spark, folder, view):
         assert joined.count() == 60_000
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_a_merge_reads_its_inputs_once(spark, folder, small):
+    """The target is scanned once, or once more for its keys alone where a small batch is looked up."""
+    rows = hot_ratings(spark, 3000).withColumn("timestamp", F.lit(1).cast("bigint")).dropDuplicates(["userId", "movieId"])
+    rows.write.parquet(f"{folder}/target")
+    rows.write.parquet(f"{folder}/updates")
+    target, updates = spark.read.parquet(f"{folder}/target"), spark.read.parquet(f"{folder}/updates")
+
+    def scans(df):
+        with settings(spark, spark__sql__maxMetadataStringLength="2000"):
+            lines = [line for line in plan(df).splitlines() if "FileScan" in line]
+        return [sum(f"{folder}/{name}" in line for line in lines) for name in ("target", "updates")]
+
+    assert scans(upsert_ratings(target, updates, small_updates=small)) == ([2, 3] if small else [1, 1])
+    assert scans(changed_values(target, updates, ["userId", "movieId"], "rating", ["timestamp"])) == [1, 2]
+
+
+def test_a_deep_page_reads_one_range(spark, folder):
+    numbers = spark.range(0, 5000, 1, 8).select((F.col("id") * 7919 % 5000).alias("id"))
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="16"):
+        pages.store_pages(numbers, [F.col("id").desc()], folder)
+    page = pages.read_page(spark, folder, 100, 20)
+    assert [r.id for r in page.orderBy("position").collect()] == list(range(3019, 2999, -1))
+    assert "Offset" not in plan(page) and len(spark.read.parquet(f"{folder}/directory").collect()) == 16
+    assert re.search(r"PartitionFilters: \[isnotnull\(range#\d+\), \(range#\d+ = \d+\)\]", plan(page))
+    assert pages.read_page(spark, folder, 251, 20).count() == 0
+
+
 def test_latest_ratings_are_not_sorted(spark):
     for name in ("rating_table", "upsert_ratings"):
         assert "SortAggregate" not in plan(QUERIES[name](spark, FOLDER)), name

@@ -173,6 +173,19 @@ def test_a_failing_stream_stops_the_other(spark, folder):
     assert not any(query.isActive for query in started)
 
 
+def test_state_falls_when_the_watermark_passes(spark, folder):
+    """Keys are forgotten ten minutes after they came, and late rows are counted by the query."""
+    put(f"{folder}/in", 0, [rating(u, 1, 3.0, T0) for u in range(40)])
+    with ingest.disk_state(spark):
+        run(spark, folder, "within")
+        full = ingest.state_rows(spark, f"{folder}/cp/within")
+        put(f"{folder}/in", 1, [rating(100, 1, 3.0, T0 + 3600)])
+        put(f"{folder}/in", 2, [rating(101, 1, 3.0, T0 + 3601)])
+        run(spark, folder, "within")
+    assert full == 40 and ingest.state_rows(spark, f"{folder}/cp/within") == 2
+    assert len(stored(spark, folder)) == 42
+
+
 def test_unknown_modes(spark):
     with pytest.raises(ValueError):
         ingest.dedup(spark.range(1), ["id"], "other")
