@@ -414,7 +414,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of pattern spans, their digest, and all spans of every whole text, in one pass without a shuffle."""
+    """Counts of pattern spans, their digest, all spans and their number, of every whole text, in one pass without a shuffle."""
     field = train()
     kind = docs.schema[key].dataType.simpleString()
 
@@ -424,11 +424,12 @@ def detect(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in BASE_KINDS]
             hashes = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found])
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), *counts, hashes, pa.array([joined(spans) for _, spans in found], pa.string())],
-                names=[key, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+                [piece.column(0), *counts, hashes, pa.array([joined(spans) for _, spans in found], pa.string()),
+                 pa.array([len(spans) for _, spans in found], pa.int64())],
+                names=[key, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans"])
 
     return docs.select(key, "text").mapInArrow(
-        run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[Span]) -> str:

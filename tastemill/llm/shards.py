@@ -3,7 +3,8 @@
 The tree starts with all shards at its root. A node with several shards is cut at the weighted median (the
 place where the bytes on its left are the share of its left shards) along the dimension in which its
 documents spread widest, until every leaf is one shard of the target size. Dimensions are document id, size,
-language and source, each scaled to the whole table's range.
+language and source, each scaled to the whole table's range; languages and sources count by their place among the
+distinct ones.
 
 Points of the tree are groups of equal texts, with the smallest id, language and source of their documents, so
 copies stay in one shard. A group heavier than ``1 / PIECES`` of a shard is cut into that many pieces by a hash
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tastemill.llm.registry import query, table
+from tastemill.operators.numbering import dense_index
 from tastemill.session import work_dir
 
 SHARDS = 24
@@ -34,10 +36,12 @@ PIECES = 20
 DIMENSIONS = ("doc", "size", "lang", "source")
 
 
-def text_rank(text: Column) -> Column:
-    """The first six bytes of a text as a number that sorts like the text; null is -1."""
-    digits = F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("double"), F.lit(-1.0))
+def ranked(points: DataFrame, name: str) -> DataFrame:
+    """The column of texts as its place among the distinct texts, whole texts compared by their bytes; null is -1."""
+    values = points.select(F.col(name).alias("value")).where("value is not null").distinct()
+    places = dense_index(values, "value", "at")  # one row a distinct text
+    joined = points.join(places, F.col(name) == F.col("value"), "left")
+    return joined.withColumn(name, F.coalesce(F.col("at").cast("double"), F.lit(-1.0))).drop("value", "at")
 
 
 def base_rows(docs: DataFrame) -> DataFrame:
@@ -49,13 +53,19 @@ def base_rows(docs: DataFrame) -> DataFrame:
         "doc_id", size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("doc"),
-        text_rank(optional["lang"]).alias("lang"), text_rank(optional["source"]).alias("source"))
+        optional["lang"].alias("lang"), optional["source"].alias("source"))
 
 
 def points(rows: DataFrame, target: float) -> DataFrame:
     """Groups of equal texts with their bytes; heavy ones as several pieces."""
+    first = {c: F.min(F.struct(F.col(c).isNotNull().alias("given"), F.col(c).alias("value"))) for c in ("lang", "source")}
     groups = rows.groupBy("h1", "h2", "size").agg(
-        F.sum("size").alias("bytes"), *(F.min(c).alias(c) for c in ("doc", "lang", "source")))
+        F.sum("size").alias("bytes"), F.min("doc").alias("doc"), *(x["value"].alias(c) for c, x in first.items()))
+    place = work_dir(rows.sparkSession, "groups")
+    groups.write.parquet(place)  # read for the distinct values, and afresh so that Spark can split a common one in the join
+    groups = rows.sparkSession.read.parquet(place)
+    for c in first:
+        groups = ranked(groups, c)
     pieces = F.ceil(F.col("bytes") * F.lit(PIECES) / F.lit(target)).cast("int")
     pieces = F.when(F.col("bytes") * PIECES > target, pieces).otherwise(1)
     return groups.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(

@@ -55,3 +55,53 @@ def test_nothing_or_one_language_to_learn(spark):
     assert {(r.lang_pred, r.score) for r in language.identify(one, language.learn(one)).collect()} == {("en", 1.0)}
     empty = df.limit(0)
     assert language.identify(empty, language.learn(empty)).count() == 0
+
+
+def plain_grams(text):
+    """Counts of two and three letters by their bucket, letter by letter."""
+    table, codes = language._letters(), []
+    for c in f" {text} ":
+        code = int(table[ord(c)])
+        if code or not codes or codes[-1]:
+            codes.append(code)
+    mask, counts = 2 ** 32 - 1, np.zeros(language.FEATURES)
+    for i in range(len(codes)):
+        for size in (2, 3):
+            gram = codes[i:i + size]
+            if len(gram) < size or not (gram[0] or gram[1]):
+                continue
+            mixed = [g * 0x9E3779B1 & mask for g in gram]
+            value = mixed[0] + (mixed[1] ^ mixed[1] >> 15) * 0x85EBCA6B & mask
+            if size == 3:
+                value = value + (mixed[2] ^ mixed[2] >> 13) * 0xC2B2AE35 & mask
+            value ^= value >> 16
+            counts[(value * 0x27D4EB2F & mask) >> 20] += 1
+    return counts
+
+
+def test_same_as_deciding_text_by_text(spark):
+    """The nearest codeword by adding up the losses of all bits for every language, and ambiguity by the lead."""
+    df = spark.createDataFrame(rows(), SCHEMA)
+    model = language.learn(df)
+    texts = [*(r[1] for r in rows(40)), "the hund", "x", "et", "", "12 !", "über the forêt", "  the   fox  "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    for k, text in enumerate(texts):
+        if not any(c.isalpha() for c in text):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        x = np.sqrt(plain_grams(text))
+        x /= np.linalg.norm(x)
+        losses = []
+        for code in model.codes:
+            loss = 0.0
+            for bit, sign in enumerate(code):
+                margin = sum(x[f] * model.weights[f, bit] for f in np.flatnonzero(x)) + model.weights[-1, bit]
+                loss += model.trust[bit] * np.log1p(np.exp(-sign * margin))
+            losses.append(loss)
+        p = np.exp(min(losses) - np.array(losses))
+        p /= p.sum()
+        order = np.argsort(-p)
+        assert got[k].lang_pred == model.languages[order[0]] and abs(got[k].score - p[order[0]]) < 1e-4
+        lead = p[order[0]] - p[order[1]]
+        assert abs(lead - language.AMBIGUOUS_GAP) < 1e-3 or got[k].ambiguous == (lead < language.AMBIGUOUS_GAP)

@@ -78,8 +78,18 @@ def test_empty_and_single(spark):
     assert row.slot == 0 and 0 <= row.shard < 24
 
 
-def test_text_rank_sorts_like_text(spark):
-    names = [None, "", "a", "ab", "b", "zz", "zzz", "é"]
-    df = spark.createDataFrame([(n,) for n in names], "t string")
-    ranks = [r.x for r in df.select(sh.text_rank(df.t).alias("x")).collect()]
-    assert ranks[0] < ranks[1] and ranks[1:] == sorted(ranks[1:])
+def test_texts_rank_by_their_whole_length(spark):
+    names = [None, "", "a", "common_", "common_books", "common_crawl_2019", "common_crawl_2020", "https://a.org", "https://b.org", "é"]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names)] * 3, "t string, k int")
+    ranks = sorted((r.k, r.t) for r in sh.ranked(df, "t").collect())
+    assert [t for _, t in ranks[::3]] == [-1.0, *map(float, range(9))]
+
+
+def test_24_shards_are_near_equal(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, f"text {i} " * int(n), "en", f"common_crawl_{i % 9}", None, "a") for i, n in enumerate(rng.integers(1, 60, 6000))]
+    total = Counter()
+    for r in sh.shard_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+        total[r.shard] += r.size
+    mean = sum(total.values()) / 24
+    assert len(total) == 24 and max(total.values()) < 1.05 * mean and min(total.values()) > 0.95 * mean
