@@ -6,13 +6,16 @@ reliable classifier weighing more, and takes the language with the least. With f
 them into two sides is a bit, with many a fixed number of well separated random ones, so that the wrong
 answers of some classifiers are outvoted.
 
-Fitting takes a bounded sample: at most ``SAMPLE_ROWS`` labelled documents, the same share of every
-language, chosen by a hash of the id; each goes in whole and as two short snippets. Prediction reads whole
-texts of all documents in one pass.
+Fitting takes a bounded sample: at most ``SAMPLE_ROWS`` labelled documents, the same number of every language
+as far as it has them, those with the smallest hashes of id and text, so the sample is the same however the table
+is partitioned. Each goes in whole and as two short snippets. Their features are made in the tasks; what reaches the
+driver is at most three sparse vectors of ``FEATURES`` numbers a document, however long the texts. At most
+``LANGUAGES`` languages are learned, those with most documents. Prediction reads whole texts of all documents in
+one pass.
 
 Null or letterless texts get ``und`` with score 0. Nothing to learn from gives ``und`` for all; a single
 learned language is given to every text with letters, with score 1. Equal texts get equal answers; ties go
-to the language first in the alphabet. An empty table gives no rows.
+to the language first in the alphabet. A table may have any other columns. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tastemill.llm.registry import query, table
 from tastemill.llm.textbytes import pieces
@@ -33,6 +37,7 @@ from tastemill.llm.textbytes import pieces
 UNDETERMINED = "und"
 FEATURES = 4096
 SAMPLE_ROWS = 3000
+LANGUAGES = 200
 AMBIGUOUS_GAP = 0.1
 SNIPPET = 48
 ROWS = 128  # texts whose features are made at a time, and about so many bytes of them
@@ -112,17 +117,13 @@ class Model:
         return best, top, top - np.maximum(p.max(axis=1), 0)
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """One classifier for each bit by gradient steps, all bits at once; bits are trusted by how well they fit."""
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """One classifier for each bit by gradient steps, all bits at once; bits are trusted by how well they fit.
+
+    ``x`` has a row of features and ``langs`` a language for each text."""
     languages = sorted(set(langs))
     codes = codewords(len(languages))
-    rows = [(t, lang) for t, lang in zip(texts, langs)]
-    for t, lang in zip(texts, langs):
-        for part in (1, 2):
-            at = len(t) * part // 3
-            rows.append((t[at:at + SNIPPET], lang))
-    x = np.concatenate([features([t for t, _ in rows[k:k + 256]])[0] for k in range(0, len(rows), 256)])
-    target = codes[np.searchsorted(languages, [lang for _, lang in rows])]
+    target = codes[np.searchsorted(languages, langs)]
     w, b = np.zeros((FEATURES, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
     speed_w, speed_b, rate = np.zeros_like(w), np.zeros_like(b), 8.0
     for _ in range(150):  # rows are unit vectors, so this step is within the curvature bound
@@ -140,18 +141,52 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(0)) % 3 == 1
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+def hash_bound(each: int, n: int) -> int:
+    """The 64-bit hash below which about ``2 * each`` of ``n`` rows lie, with room so that ``each`` of them nearly always do."""
+    wanted = 2 * each + 40
+    return (1 << 63) - 1 if wanted >= n else (wanted << 64) // n - (1 << 63)
+
+
+def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> DataFrame:
+    """``lang`` and the sparse features of a whole text and of two snippets of it, for each document of the sample."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    each = max(1, sample_rows // max(1, len(counts)))
+    bound = F.lit(None).cast("bigint")
+    if counts:
+        bound = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], hash_bound(each, r["n"]))])[F.col("lang")]
+    drawn = usable.withColumn("h", F.xxhash64(F.lit(11), "doc_id", "text")).where(F.col("h") <= bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=BYTES):
+            texts, out = batch.column(1).to_pylist(), []
+            for k in range(0, len(texts), ROWS):
+                part = texts[k:k + ROWS]
+                views = [part, *([t[len(t) * n // 3:][:SNIPPET] for t in part] for n in (1, 2))]
+                made = [features(view)[0] for view in views]
+                for i in range(len(part)):
+                    at = [np.flatnonzero(x[i]) for x in made]
+                    out.append([a.astype("<u2").tobytes() for a in at] + [x[i][a].astype("<f4").tobytes() for x, a in zip(made, at)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), *(pa.array(c, pa.binary()) for c in zip(*out))],
+                names=["doc_id", "lang", "h", *(f"at{k}" for k in range(3)), *(f"x{k}" for k in range(3))])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = drawn.mapInArrow(run, f"doc_id {kind}, lang string, h long, at0 binary, at1 binary, at2 binary, x0 binary, x1 binary, x2 binary")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "at0", "x0")
+    return made.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+
+
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> Model | None:
     """Fit on the sample; None if no document can be learned from."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {row["lang"]: row["n"] for row in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = training_rows(docs, sample_rows, most).orderBy("lang", "place").collect()  # at most sample_rows, or one a language
+    if not rows:
         return None
-    each = max(1, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = usable.where(chance < share[F.col("lang")]).select("doc_id", "text", "lang").limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    x = np.zeros((3 * len(rows), FEATURES), np.float32)
+    for k, row in enumerate(rows):
+        for n in range(3):
+            x[3 * k + n, np.frombuffer(row[f"at{n}"], "<u2")] = np.frombuffer(row[f"x{n}"], "<f4")
+    return fit(x, [row["lang"] for row in rows for _ in range(3)])
 
 
 def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",),

@@ -43,7 +43,9 @@ def test_predicts_held_out_rows(spark):
     by_id = {r.doc_id: r for r in got}
     assert len(got) == 126 and all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (500, 501, 502))
     assert by_id[None].lang_pred == "de" and by_id[503].lang_pred == "en"
-    assert np.mean([r.lang_pred == r.lang for r in got if r.lang and r.doc_id < 500]) > 0.97
+    unseen = {r.doc_id for r in df.where(language.held_out()).collect()}
+    assert 20 < len(unseen) < 60
+    assert np.mean([r.lang_pred == r.lang for r in got if r.doc_id in unseen and r.lang and r.doc_id < 500]) > 0.97
     assert all(0 <= r.score <= 1 for r in got)
 
 
@@ -105,3 +107,35 @@ def test_same_as_deciding_text_by_text(spark):
         assert got[k].lang_pred == model.languages[order[0]] and abs(got[k].score - p[order[0]]) < 1e-4
         lead = p[order[0]] - p[order[1]]
         assert abs(lead - language.AMBIGUOUS_GAP) < 1e-3 or got[k].ambiguous == (lead < language.AMBIGUOUS_GAP)
+
+
+def test_sample_is_the_same_in_any_partitioning(spark):
+    many = [(i, f"{r[1]} {i}", r[2], None, i) for i, r in enumerate(rows() * 20)] + [(7, "hot row", "en", "x", 1)] * 900
+    df = spark.createDataFrame(many, SCHEMA)
+    drawn = []
+    for parts in (1, 3, 16):
+        found = language.training_rows(df.repartition(parts, "text"), 90).select("lang", "place", "doc_id", "h", "at0").collect()
+        drawn.append(sorted((r.lang, r.place, r.doc_id, r.h, bytes(r.at0)) for r in found))
+    assert drawn[0] == drawn[1] == drawn[2]
+    assert [sum(r[0] == lang for r in drawn[0]) for lang in sorted(SAMPLES)] == [30, 30, 30]
+
+
+def test_sample_bound_has_no_grain():
+    """Of any number of rows the bound lets about as many through, also where 2**20 times as many are simulated."""
+    for n in (1000, 10 ** 9, 10 ** 9 << 20, 10 ** 15 << 10):
+        share = (language.hash_bound(750, n) + (1 << 63)) / (1 << 64)
+        assert share == 1 if n <= 1540 else abs(share * n - 1540) < 1
+    assert language.hash_bound(750, 10 ** 9 << 20) > -(1 << 63)
+
+
+def test_languages_are_bounded(spark):
+    df = spark.createDataFrame([*rows(), *((1000 + i, f"dirty label {i}", f"label{i}", None, 0) for i in range(50))], SCHEMA)
+    assert language.learn(df, most=3).languages == sorted(SAMPLES)
+
+
+def test_long_text_in_the_sample(spark):
+    df = spark.createDataFrame([*rows(30), (900, "le renard " * 200_000, "fr", None, 1), (903, "", "fr", None, 1)], SCHEMA)
+    sent = language.training_rows(df)
+    assert max(len(r.at0) + len(r.x0) for r in sent.collect()) <= 6 * language.FEATURES
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.learn(df)).collect()}
+    assert got[900] == "fr" and got[903] == "und"
