@@ -12,8 +12,11 @@
    with; pairs are never written out.
 5. Classes are the connected components of the verified links; copies are in the class of their set.
 
-Buckets and groups larger than a tile are cut into blocks and every pair of blocks is a task of its own, so
-memory is bounded and a hot group spreads over the cluster, while no pair of different texts is left out.
+Buckets and groups larger than a tile are cut into blocks and every pair of blocks is a task of its own, so a hot
+group spreads over the cluster, while no pair of different texts is left out. Blocks of a group are of sets of about
+one size, and blocks too unequal for the threshold are not paired. Sets come to a task in slices of the range of
+hashes: intersections are added up slice by slice, so a task holds about ``SLICE_BYTES`` of hashes however long
+the texts are, besides the signatures and counts of two blocks.
 
 A text of fewer than five words is one shingle. Null texts and texts without words are linked with nothing and
 are classes of their own. Repeated rows are copies of each other. An empty table gives no rows.
@@ -44,6 +47,7 @@ STEP = 16
 TOLERANCE = 1e-8
 BUCKET_TILE = 4096
 GROUP_TILE = 1024
+SLICE_BYTES = 8 << 20
 
 _rng = np.random.default_rng(20240607)
 _LOW, _HIGH = (_rng.integers(0, 1 << 31, VALUES, np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -223,18 +227,20 @@ def intersections(own: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def links(own: list[np.ndarray], sig: np.ndarray, threshold: float, need: tuple[int, ...]) -> np.ndarray:
-    """Matrix of verified links between different sets."""
-    size = np.array([len(s) for s in own], np.float64)
-    if len(own) <= 8:
-        ok = np.zeros((len(own), len(own)), bool)
-        for a, b in zip(*np.nonzero(np.triu(plausible(sig, sig, need), 1))):
-            if min(size[a], size[b]) >= threshold * max(size[a], size[b]) - 1e-9:
-                common = len(np.intersect1d(own[a], own[b], assume_unique=True))
-                ok[a, b] = ok[b, a] = common * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-9
-        return ok
+def common(own: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of intersections, at least of the pairs that the matrix asks for."""
+    if len(own) > 8:
+        return intersections(own)
+    out = np.zeros((len(own), len(own)))
+    for a, b in zip(*np.nonzero(np.triu(pairs, 1))):
+        out[a, b] = out[b, a] = len(np.intersect1d(own[a], own[b], assume_unique=True))
+    return out
+
+
+def candidates(sig: np.ndarray, size: np.ndarray, threshold: float, need: tuple[int, ...]) -> np.ndarray:
+    """Matrix of pairs of different sets that survive the pruning and are not too unequal in size."""
     ok = np.concatenate([plausible(sig[k:k + 64], sig, need) for k in range(0, len(sig), 64)])
-    ok &= intersections(own) * (1 + threshold) >= threshold * (size[:, None] + size) - 1e-9
+    ok &= np.minimum(size[:, None], size) >= threshold * np.maximum(size[:, None], size) - 1e-9
     np.fill_diagonal(ok, False)
     return ok
 
@@ -253,12 +259,51 @@ def spanning(ok: np.ndarray) -> np.ndarray:
     return root
 
 
+def level_of(n: Column, threshold: float) -> Column:
+    """Sets at least ``threshold`` alike are of one level or of two next to each other."""
+    return F.floor(F.log(n) / float(-np.log(0.99 * threshold))).cast("int")
+
+
+def group_plan(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """For each component its sets by level (one level if all fit a tile) and the slices its sets are cut into.
+
+    ``members`` has ``component`` and ``n``, the number of hashes of a set. Levels number a few hundred at most."""
+    by_level = members.groupBy("component", level_of(F.col("n"), threshold).alias("level")).agg(
+        F.count("*").alias("sets"), F.sum("n").alias("hashes"))
+    whole = by_level.groupBy("component").agg(
+        F.sum("sets").alias("size"), F.sum("hashes").alias("hashes"), F.max("level").alias("top"),
+        F.map_from_entries(F.collect_list(F.struct("level", "sets"))).alias("levels"))
+    fits = F.col("size") <= tile
+    levels = F.when(fits, F.create_map(F.lit(0), F.col("size"))).otherwise(F.col("levels"))
+    # A task has two blocks of a tile of sets at most. Sets of the highest level are no larger than e to its upper end.
+    largest = F.exp((F.col("top") + 1) * float(-np.log(0.99 * threshold)))
+    most = F.least(F.col("hashes").cast("double"), largest * 2 * tile) * 8
+    return whole.select("component", fits.alias("fits"), levels.alias("levels"), F.ceil(most / SLICE_BYTES).cast("int").alias("slices"))
+
+
+def paired_blocks(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """The rows with ``own``, the number of their block, and ``others``, the blocks whose sets can reach the threshold with
+    theirs, their own included. A block's number tells its level; ``fits``, ``levels`` and ``n`` are of the plan."""
+    step = 1 << 20  # blocks a level
+    level = F.when(F.col("fits"), 0).otherwise(level_of(F.col("n"), threshold))
+    blocks = lambda at: F.ceil(F.coalesce(F.try_element_at("levels", at), F.lit(0)) / tile).cast("int")
+    own = level.cast("bigint") * step + F.pmod(F.xxhash64("id", F.lit(3)), blocks(level))
+    others = F.concat(*[
+        F.when(blocks(level + d) > 0, F.sequence(F.lit(0), blocks(level + d) - 1)).otherwise(F.array().cast("array<int>"))
+        for d in (-1, 0, 1)])
+    counts = [F.when(blocks(level + d) > 0, blocks(level + d)).otherwise(0) for d in (-1, 0, 1)]
+    others = F.transform(others, lambda b, k: b + step * (
+        level.cast("bigint") + F.when(k < counts[0], -1).when(k < counts[0] + counts[1], 0).otherwise(1)))
+    return members.withColumn("own", own).withColumn("others", others)
+
+
 def verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance: float, width: int, tile: int) -> DataFrame:
     """``id``, ``root`` in its tile and number of linked documents in its tile, for each set and tile it is in."""
     need = needed_matches(threshold, tolerance)
     # One row of each set, by id and text, brings the text.
     wanted = members.alias("m").join(with_text_hash(docs).alias("d"), same_row("m", "d")).select(
-        "id", "component", "size", "copies", "sig", "hi", "lo", "text")
+        "id", "component", "copies", "n", "sig", "fits", "levels", "slices", "hi", "lo", "text")
+    kept = ["id", "component", "copies", "n", "sig", "fits", "levels"]
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of rows that are given many times a task passes one on
@@ -266,36 +311,55 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float, tolerance: f
             fresh = [k for k, i in enumerate(piece.column("id").to_pylist()) if not (i in seen or seen.add(i))]
             piece = piece.take(pa.array(fresh, pa.int64()))
             found = sets(piece.column("text"), width)
-            keys = zip(piece.column("hi").to_pylist(), piece.column("lo").to_pylist())
-            keep = [k for k, (s, key) in enumerate(zip(found, keys)) if len(s) and set_key(s) == key]
-            rows = piece.select(["id", "component", "size", "copies", "sig"]).take(pa.array(keep, pa.int64()))
+            at, part, parts = [], [], []
+            for k, (own, hi, lo, slices) in enumerate(zip(found, *(piece.column(c).to_pylist() for c in ("hi", "lo", "slices")))):
+                if len(own) and set_key(own) == (hi, lo):
+                    cuts = np.array([(j << 64) // slices for j in range(1, slices)], np.uint64)
+                    at += [k] * slices
+                    part += range(slices)
+                    parts += [p.tobytes() for p in np.split(own, np.searchsorted(own, cuts))]
+            rows = piece.select(kept).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array([found[k].tobytes() for k in keep], pa.binary())], names=[*rows.schema.names, "hashes"])
+                [*rows.columns, pa.array(part, pa.int32()), pa.array(parts, pa.binary())], names=[*kept, "slice", "hashes"])
 
     hashed = wanted.mapInArrow(
-        hash_sets, "id long, component long, size long, copies long, sig binary, hashes binary")
+        hash_sets, "id long, component long, copies long, n long, sig binary, fits boolean, levels map<int,bigint>, slice int, hashes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, begins in sorted_groups(batches, 3):
-            ids, block, copies = (batch.column(c).to_numpy() for c in ("id", "own", "copies"))
-            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
-            sig = _signatures(batch.column("sig"))
-            out_id, out_root, out_links = [], [], []
-            for a, b in zip(begins[:-1], begins[1:]):
+        tile = None  # the open one: ids, copies, sizes, pairs still possible, hashes in common
+        for batch, begins in sorted_groups(batches, 4):
+            keys = list(zip(*(batch.column(c).take(pa.array(begins[:-1])).to_pylist() for c in ("component", "i", "j", "slice"))))
+            ids, block, copies, size = (batch.column(c).to_numpy() for c in ("id", "own", "copies", "n"))
+            out = []
+            for a, b, (*key, part) in zip(begins[:-1], begins[1:], keys):
                 _, at = np.unique(ids[a:b], return_index=True)  # one row of each set
                 at += a
-                own = [np.frombuffer(batch.column("hashes")[int(k)].as_py(), np.uint64) for k in at]
-                ok = links(own, sig[at], threshold, need)
-                if i[a] != j[a]:  # only pairs across the two blocks are this tile's
-                    ok &= block[at][:, None] != block[at]
-                out_id.append(ids[at])
-                out_root.append(ids[at][spanning(ok)])
-                out_links.append(ok @ copies[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_root, out_links)], names=["id", "root", "links"])
-
-    tiled = tiles(hashed, F.col("size"), tile).select("component", "i", "j", "id", "own", "copies", "sig", "hashes")
-    return tiled.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id").mapInArrow(
+                if part == 0:
+                    if tile:
+                        out.append(close(*tile))
+                    possible = candidates(_signatures(batch.column("sig").take(pa.array(at))), size[at].astype(np.float64), threshold, need)
+                    if key[1] != key[2]:  # only pairs across the two blocks are this tile's
+                        possible &= block[at][:, None] != block[at]
+                    tile = ids[at], copies[at], size[at], possible, np.zeros(possible.shape)
+                if tile[3].any():
+                    tile[4][:] += common([np.frombuffer(batch.column("hashes")[int(k)].as_buffer(), np.uint64) for k in at], tile[3])
+            if out:
+                yield rows_of(out)
+        if tile:
+            yield rows_of([close(*tile)])
+
+    def close(ids, copies, size, possible, shared):
+        ok = possible & (shared * (1 + threshold) >= threshold * (size[:, None] + size) - 1e-9)
+        return ids, ids[spanning(ok)], ok @ copies
+
+    def rows_of(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["id", "root", "links"])
+
+    tiled = paired_blocks(hashed, threshold, tile).withColumn("other", F.explode("others")).select(
+        "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "slice", "id", "own", "copies", "n",
+        F.when(F.col("slice") == 0, F.col("sig")).alias("sig"), "hashes")
+    return tiled.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "slice", "id").mapInArrow(
         compare, "id long, root long, links long")
 
 
@@ -317,10 +381,10 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float, width: int, bu
     edges = stored(candidate_edges(distinct, threshold, tolerance, bucket_tile), "edges")
     found = components(edges)
     members = stored(found.select("id", F.col("root").alias("component")).union(
-        found.select("root", "root").distinct()), "members")
-    sizes = stored(members.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+        found.select("root", "root").distinct()).join(distinct.select("id", "n"), "id"), "members")
+    plan = stored(group_plan(members, threshold, group_tile), "plan")
     # Written, so that Spark knows how few they are when it joins them with the texts.
-    members = stored(members.join(sizes, "component").join(
+    members = stored(members.join(plan, "component").join(
         distinct.select("id", "row.doc_id", "row.text_hash", "hi", "lo", "copies", "sig"), "id"), "wanted")
     checked = stored(verified(docs, members, threshold, tolerance, width, group_tile), "links")
     roots = components(checked.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -84,8 +84,9 @@ def corpus(seed=4):
 SCHEMA = "doc_id long, text string, sig string, n int, root string"
 
 
-@pytest.mark.parametrize("bucket_tile, group_tile", [(jj.BUCKET_TILE, jj.GROUP_TILE), (16, 20)])
-def test_against_all_pairs(spark, bucket_tile, group_tile):
+@pytest.mark.parametrize("bucket_tile, group_tile, slice_bytes", [(jj.BUCKET_TILE, jj.GROUP_TILE, jj.SLICE_BYTES), (16, 20, 900)])
+def test_against_all_pairs(spark, monkeypatch, bucket_tile, group_tile, slice_bytes):
+    monkeypatch.setattr(jj, "SLICE_BYTES", slice_bytes)
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
     got = jj.similarity_classes(df, bucket_tile=bucket_tile, group_tile=group_tile).collect()
@@ -158,3 +159,46 @@ def test_intersections():
     want = [[len(set(a) & set(b)) for b in own] for a in own]
     assert jj.intersections(own).tolist() == want
     assert isinstance(jj.sets(pa.array(["a b c d e f"]))[0], np.ndarray)
+
+
+def test_blocks_that_cannot_reach_the_threshold_are_not_paired(spark):
+    """Every pair of sizes within the threshold meets in exactly one tile; sizes far apart meet in none."""
+    sizes = [1, 4, 5, 10, 12, 13, 40, 50, 64, 80, 100, 125, 1000, 1250, 10 ** 6, 1_250_000, 2 ** 40]
+    members = spark.createDataFrame([(k, 7, n) for k, n in enumerate(sizes * 6)] + [(1000, 8, 5), (1001, 8, 500)], "id long, component long, n long")
+    placed = jj.paired_blocks(members.join(jj.group_plan(members, 0.8, 4), "component"), 0.8, 4).collect()
+    tiles = {}
+    for r in placed:
+        assert len(set(r.others)) == len(r.others) and r.own in r.others
+        for other in r.others:
+            tiles.setdefault((r.component, min(r.own, other), max(r.own, other)), []).append(r)
+    met = {}
+    for (_, i, j), rows in tiles.items():
+        for a in rows:
+            for b in rows:
+                if a.id < b.id and (i == j or a.own != b.own):
+                    met[a.id, b.id] = met.get((a.id, b.id), 0) + 1
+    assert set(met.values()) == {1} and (1000, 1001) in met
+    by_id = {r.id: r for r in placed}
+    for a in by_id.values():
+        for b in by_id.values():
+            if a.id < b.id and a.component == b.component == 7:
+                least, most = sorted((a.n, b.n))
+                assert (a.id, b.id) in met or least < 0.8 * most
+                assert (a.id, b.id) not in met or least > 0.6 * most
+
+
+def test_long_texts_go_through_in_slices(spark, monkeypatch):
+    """Near copies of a long text: no task gets more than a slice of hashes at a time, and no link is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 50_000, 20_000)]
+    rows = []
+    for k in range(24):
+        copy = list(base)
+        for at in rng.integers(0, 20_000, 40):
+            copy[at] = f"own{k}"
+        rows.append((k, " ".join(copy)))
+    monkeypatch.setattr(jj, "SLICE_BYTES", 1 << 18)
+    held = jj.group_plan(spark.createDataFrame([(k, 1, 20_000) for k in range(24)], "id long, component long, n long"), 0.8, 1024).first()
+    assert held.slices == -(-24 * 20_000 * 8 // (1 << 18))
+    got = jj.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 23)} and len(got) == 24
