@@ -4,9 +4,14 @@ The fraction is the same for all documents, so a sketch grows with its document,
 union of the sketches, and the share of one sketch found in another estimates containment however unequal the
 documents are. Shingles are five words (ASCII white space between, ASCII letters without case).
 
-So that short documents are comparable too, the smallest hash is always kept, even above the fraction. It
-takes part in a comparison only if no hash of the document is below the fraction, and it survives merging
-(the smallest hash of a union is the smaller of the two).
+A document none of whose hashes is below the fraction keeps its smallest hash instead, so that equal short
+texts are alike, and it survives merging (the smallest hash of a union is the smaller of the two).
+
+What an estimate rests on is ``support``, the number of a document's hashes below the fraction, about
+``FRACTION`` of its shingles. With a support of at least one, the estimated containment of a part in its whole is
+1 whatever their sizes, and that of a true containment c errs by about sqrt(c (1 - c) / support). Without support,
+for n shingles in (1 - FRACTION) ** n of all cases, a sketch cannot say whether the document lies in a longer one:
+its containment is then 1 in itself and in texts that share its smallest hash as theirs, else 0.
 
 A fingerprint is the base64 text of the sorted 48-bit hashes, six bytes each. Null and empty texts, and texts
 of white space, have the empty fingerprint; two of these are fully alike, and nothing is like only one of
@@ -70,6 +75,11 @@ def decode(fingerprint: str) -> np.ndarray:
     return np.pad(raw, ((0, 0), (2, 0))).reshape(-1).view(">u8").astype(np.uint64)
 
 
+def support(sketch: np.ndarray, fraction: float = FRACTION) -> int:
+    """Number of the hashes an estimate rests on; 0 where a document is too short to be found in longer ones."""
+    return int(np.searchsorted(sketch, np.uint64(limit_of(fraction))))
+
+
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of the first document's shingles that the second has."""
     if not len(a):
@@ -133,7 +143,7 @@ def compare_with_edits(docs: DataFrame, fraction: float = FRACTION, shards: int
 
     ``near_*`` are containments of the document in the other text, ``jaccard_*`` the symmetric likeness. The
     following document is the next in order of id, then text; null ids come first. Rows with one id stay in
-    one shard. After the last row comes the first.
+    one shard, and every shard is a task. After the last row comes the first. ``support`` is what the estimates rest on.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -172,15 +182,16 @@ def compare_with_edits(docs: DataFrame, fraction: float = FRACTION, shards: int
             pa.array([encode(s) for s in new]),
             *(pa.array([f(a[2], other) for (a, _), other in zip(pairs, others)], pa.float64())
               for f in (containment, jaccard) for others in (new, [b[2] for _, b in pairs])),
+            pa.array([support(a[2], fraction) for a, _ in pairs], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[
             "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-            "jaccard_edited", "jaccard_next"])
+            "jaccard_edited", "jaccard_next", "support"])
 
     placed = with_following(docs, n)
-    return placed.repartition(n, "shard").sortWithinPartitions("shard", "copied", "doc_id", "text").mapInArrow(
+    return placed.repartitionById(n, "shard").sortWithinPartitions("shard", "copied", "doc_id", "text").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-             "near_edited double, near_next double, jaccard_edited double, jaccard_next double")
+             "near_edited double, near_next double, jaccard_edited double, jaccard_next double, support long")
 
 
 @query("op2_document_fingerprints")

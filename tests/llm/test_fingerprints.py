@@ -77,3 +77,37 @@ def test_empty_and_single(spark):
     assert fp.compare_with_edits(spark.createDataFrame([], schema)).count() == 0
     row = fp.compare_with_edits(spark.createDataFrame([(3, "abcd")], schema)).first()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+@pytest.mark.parametrize("n_words", [5, 6, 10, 40, 200])
+def test_short_texts_in_a_long_one(n_words):
+    """Containment is 1 wherever the short text has support, and support fails as often as stated."""
+    rng = np.random.default_rng(n_words)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    long = list(rng.choice(vocabulary, 4000))
+    parts = [" ".join(long[a:a + n_words]) for a in rng.integers(0, 4000 - n_words, 800)]
+    whole, *own = fp.sketches(pa.array([" ".join(long), *parts]))
+    known = np.array([fp.support(s) > 0 for s in own])
+    assert all(fp.containment(s, whole) == (1.0 if k else 0.0) for s, k in zip(own, known))
+    missing = (1 - fp.FRACTION) ** (n_words - 4)
+    assert abs((~known).mean() - missing) < 4 * np.sqrt(missing * (1 - missing) / 800) + 0.04  # parts overlap
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.8])
+def test_error_of_containment(share):
+    rng = np.random.default_rng(int(share * 100))
+    vocabulary = [f"w{i}" for i in range(5000)]
+    errors = []
+    for _ in range(60):
+        own = list(rng.choice(vocabulary, 400))
+        other = own[:int(400 * share)] + list(rng.choice(vocabulary, 3000))
+        a, b = fp.sketches(pa.array([" ".join(own), " ".join(other)]))
+        true = (int(400 * share) - 4) / 396
+        errors.append((fp.containment(a, b) - true) / np.sqrt(true * (1 - true) / fp.support(a)))
+    assert np.sqrt(np.mean(np.square(errors))) < 1.4 and np.max(np.abs(errors)) < 4.5
+
+
+def test_every_shard_is_a_task(spark):
+    df = spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text")
+    found = fp.compare_with_edits(df, shards=16).selectExpr("spark_partition_id() p").groupBy("p").count().collect()
+    assert len(found) == 16 and max(r["count"] for r in found) < 500
