@@ -3,8 +3,8 @@
 A text is cut into tokens: runs of letters and digits, and single other signs. A token's shape is what it is
 made of (digits and how many, letters and their case, both mixed, which sign) and about how long it is. The
 field scores each token's label from the shapes of the token and of two on either side (and whether white
-space lies between), and each pair of labels in a row. Its weights are fitted by exact gradients to the small
-labelled table below.
+space lies between), and each pair of labels in a row. Its weights are fitted by exact gradients to a small
+labelled table: that below, or one the caller gives.
 
 Labels are decoded by Viterbi, in numpy, for all texts of a batch at once. Nearly all words of a text can only
 be outside: where the score of "outside" leads every other label by more than any two transitions can make
@@ -163,6 +163,36 @@ def labelled_lines(copies: int = 2, seed: int = 11) -> list[tuple[str, list[Span
     return out
 
 
+LABELLED_ROWS = 4000
+LABELLED_CHARS = 400
+
+
+def labelled_examples(labelled: DataFrame) -> tuple[tuple[str, tuple[Span, ...]], ...]:
+    """Texts and spans of a table with ``text`` and ``spans`` (as ``detect`` returns them, so its corrected rows can be learned from).
+
+    At most ``LABELLED_ROWS`` rows of at most ``LABELLED_CHARS`` code points: a larger table is refused, not cut, and so are spans
+    that leave their text, overlap or are of an unknown kind, and a table without texts. Rows with a null or empty text say
+    nothing; null spans are none. Repeated rows weigh as often as they occur; the order of rows and other columns do not matter.
+    """
+    given = labelled.where("text <> ''").select("text", F.coalesce(F.col("spans").cast("string"), F.lit("")).alias("spans"))
+    rows = sorted((r["text"], r["spans"]) for r in given.limit(LABELLED_ROWS + 1).collect())
+    if not rows or len(rows) > LABELLED_ROWS:
+        raise ValueError(f"a labelled table has 1 to {LABELLED_ROWS} texts")
+    out = []
+    for text, listed in rows:
+        spans, last = [], 0
+        for kind, start, end in sorted((x.split(":") for x in listed.split(",") if x), key=lambda x: int(x[1])):
+            span = int(start), int(end), kind
+            if kind not in KINDS or not last <= span[0] < span[1] <= len(text):
+                raise ValueError(f"not a span of its text: {kind}:{start}:{end}")
+            spans.append(span)
+            last = span[1]
+        if len(text) > LABELLED_CHARS:
+            raise ValueError(f"a labelled text has at most {LABELLED_CHARS} code points")
+        out.append((text, tuple(spans)))
+    return tuple(out)
+
+
 # ---------------------------------------------------------------- tokens and shapes
 
 _SPACE, _ALNUM, _SIGN = 0, 1, 2
@@ -305,12 +335,13 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def train(steps: int = 200, penalty: float = 5e-5, most: float = PAIR_LIMIT) -> Field:
-    """Fit the field to the labelled table: expected minus observed counts by forward-backward, Adam steps.
+def train(table: tuple[tuple[str, tuple[Span, ...]], ...] | None = None, steps: int = 200, penalty: float = 5e-5,
+          most: float = PAIR_LIMIT) -> Field:
+    """Fit the field to a labelled table: expected minus observed counts by forward-backward, Adam steps.
 
-    Weights of label pairs are kept within ``most``, so that shapes decide and chains can be cut (see ``Field.bounds``).
+    The table is that of this module, or one that ``labelled_examples`` has read. Weights of label pairs are kept within ``most``, so that shapes decide and chains can be cut (see ``Field.bounds``).
     """
-    lines = labelled_lines()
+    lines = labelled_lines() if table is None else table
     data, offsets = utf8(pa.array([t for t, _ in lines], pa.string()))
     starts, ends, shape, before = tokens(data, offsets)
     numbers = features(starts, ends, shape, before)
@@ -413,9 +444,12 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def detect(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts of pattern spans, their digest, all spans and their number, of every whole text, in one pass without a shuffle."""
-    field = train()
+def detect(docs: DataFrame, key: str = "doc_id", labelled: DataFrame | None = None) -> DataFrame:
+    """Counts of pattern spans, their digest, all spans and their number, of every whole text, in one pass without a shuffle.
+
+    The field is fitted to ``labelled`` (see ``labelled_examples``), or to the table of this module.
+    """
+    field = train() if labelled is None else train(labelled_examples(labelled))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,9 +476,9 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The same rows and columns; personal data in ``text`` is masked and ``n_chars`` follows. Clean texts stay as they are."""
-    field = train()
+    field = train() if labelled is None else train(labelled_examples(labelled))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
