@@ -7,8 +7,11 @@ language and source, each scaled to the whole table's range; languages and sourc
 distinct ones.
 
 Points of the tree are groups of equal texts, with the smallest id, language and source of their documents, so
-copies stay in one shard. A group heavier than ``1 / PIECES`` of a shard is cut into that many pieces by a hash
-of the document id; this keeps shards near equal however many copies there are.
+copies stay in one shard. Groups heavier than ``1 / PIECES`` of a shard would upset its cuts. The heaviest first, each goes
+whole to the shard with most room left, and the tree fills what room remains: the share of a node's left shards is
+their share of its room. Only a group that fits into no shard's room is cut, into pieces of ``1 / PIECES`` of a shard by
+a hash of the document id, which are points of the tree. A single row can't be cut; where it is larger than a shard, the
+others share the rest equally.
 
 Medians are found without sorting or gathering points: all nodes of a level are cut together, and each round
 sums the bytes in ``BINS`` bins of every node's current range and goes on in the bin that holds the median. The
@@ -21,6 +24,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +65,7 @@ def points(rows: DataFrame, target: float) -> DataFrame:
     """Groups of equal texts with their bytes; heavy ones as several pieces."""
     first = {c: F.min(F.struct(F.col(c).isNotNull().alias("given"), F.col(c).alias("value"))) for c in ("lang", "source")}
     groups = rows.groupBy("h1", "h2", "size").agg(
-        F.sum("size").alias("bytes"), F.min("doc").alias("doc"), *(x["value"].alias(c) for c, x in first.items()))
+        F.sum("size").alias("bytes"), F.count("*").alias("docs"), F.min("doc").alias("doc"), *(x["value"].alias(c) for c, x in first.items()))
     place = work_dir(rows.sparkSession, "groups")
     groups.write.parquet(place)  # read for the distinct values, and afresh so that Spark can split a common one in the join
     groups = rows.sparkSession.read.parquet(place)
@@ -69,11 +74,23 @@ def points(rows: DataFrame, target: float) -> DataFrame:
     pieces = F.ceil(F.col("bytes") * F.lit(PIECES) / F.lit(target)).cast("int")
     pieces = F.when(F.col("bytes") * PIECES > target, pieces).otherwise(1)
     return groups.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "h1", "h2", "pieces", "piece", (F.col("bytes") / F.col("pieces")).alias("weight"),
+        "h1", "h2", "docs", "pieces", "piece", (F.col("bytes") / F.col("pieces")).alias("weight"),
         F.col("doc"), F.log2(F.col("size").cast("double")).alias("size"), "lang", "source",
         F.pmod(F.xxhash64("h1", "h2", "piece"), F.lit(1 << 40)).cast("double").alias("tie"))
 
 
+def settle(heavy: list[tuple[float, int, int, int]], n_shards: int, target: float) -> tuple[list[tuple[int, int, int]], list[float]]:
+    """The shard of each heavy group (bytes, rows, two hashes) that stays whole, and the bytes each shard still has room for."""
+    room = [(-target, k) for k in range(n_shards)]  # a heap, most room first
+    placed = []
+    for size, docs, h1, h2 in sorted(heavy, key=lambda g: (-g[0], *g[2:])):
+        left, k = room[0]
+        if size <= -left or docs == 1:
+            heapq.heapreplace(room, (left + size, k))
+            placed.append((h1, h2, k))
+    return placed, [max(-left, 0.0) for _, left in sorted((k, left) for left, k in room)]
+
+
 def _case(values: dict[int, object], node: str = "node") -> Column:
     """The value of a row's node, from one literal a node."""
     items = [F.lit(x) for pair in values.items() for x in pair]
@@ -121,7 +138,12 @@ def _search(at_nodes: DataFrame, goal: dict[int, float], low: dict[int, float],
     return cut, below, inside
 
 
-def cut_level(placed: DataFrame, shards: dict[int, int], ranges: dict[str, tuple[float, float]]) -> dict[int, tuple]:
+def _left_share(first: int, k: int, room: list[float]) -> float:
+    own, left = sum(room[first:first + k]), sum(room[first:first + k // 2])
+    return left / own if own else (k // 2) / k
+
+
+def cut_level(placed: DataFrame, shards: dict[int, int], ranges: dict[str, tuple[float, float]], room: list[float]) -> dict[int, tuple]:
     """For each node with several shards: dimension, value and tie hash of its cut, and the shards on the left."""
     nodes = sorted(n for n, k in shards.items() if k > 1)
     at_nodes = placed.where(F.col("node").isin(nodes))
@@ -132,7 +154,7 @@ def cut_level(placed: DataFrame, shards: dict[int, int], ranges: dict[str, tuple
     for n in stats:
         spread = {c: (stats[n][f"hi_{c}"] - stats[n][f"lo_{c}"]) / max(ranges[c][1] - ranges[c][0], 1e-300) for c in DIMENSIONS}
         choice[n] = max(DIMENSIONS, key=lambda c: (spread[c], -DIMENSIONS.index(c)))
-    goal = {n: stats[n]["w"] * (shards[n] // 2) / shards[n] for n in stats}
+    goal = {n: stats[n]["w"] * _left_share(n, shards[n], room) for n in stats}
     value = _dimension(choice)
     cut, below, _ = _search(at_nodes, goal, {n: stats[n][f"lo_{choice[n]}"] for n in stats},
                          {n: stats[n][f"hi_{choice[n]}"] for n in stats}, value, F.lit(True))
@@ -144,14 +166,15 @@ def cut_level(placed: DataFrame, shards: dict[int, int], ranges: dict[str, tuple
     return {n: (choice[n], cut[n], ties[n] + (0.5 if fits[n] else 0), shards[n] // 2) for n in stats}
 
 
-def grow_tree(spark: SparkSession, pts: DataFrame, n_shards: int, place: str) -> DataFrame:
-    """Points with their ``shard``. Shards of nodes without points stay empty."""
+def grow_tree(spark: SparkSession, pts: DataFrame, n_shards: int, place: str, room: list[float] | None = None) -> DataFrame:
+    """Points with their ``shard``, in proportion to each shard's ``room``. Shards of nodes without points stay empty."""
+    room = room or [1.0] * n_shards
     ends = pts.agg(*(f(c).alias(f"{name}_{c}") for c in DIMENSIONS for name, f in (("lo", F.min), ("hi", F.max)))).first()
     ranges = {c: (ends[f"lo_{c}"] or 0.0, ends[f"hi_{c}"] or 0.0) for c in DIMENSIONS}
     placed = pts.withColumn("node", F.lit(0))  # a node is named by its first shard
     shards, level = {0: n_shards}, 0
     while any(k > 1 for k in shards.values()):
-        cuts = cut_level(placed, shards, ranges)
+        cuts = cut_level(placed, shards, ranges, room)
         if not cuts:
             break
         value = _dimension({n: c[0] for n, c in cuts.items()})
@@ -188,14 +211,22 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     base_rows(docs).write.parquet(f"{place}/rows")
     rows = spark.read.parquet(f"{place}/rows")
     total = rows.agg(F.sum("size").alias("x")).first()["x"] or 0
-    points(rows, max(total / n_shards, 1)).write.parquet(f"{place}/points")
-    placed = grow_tree(spark, spark.read.parquet(f"{place}/points"), n_shards, place)
+    target = max(total / n_shards, 1)
+    points(rows, target).write.parquet(f"{place}/points")
+    pts = spark.read.parquet(f"{place}/points")
     # Groups of several pieces weigh more than a part of a shard each, so there are at most shards times PIECES of them.
-    # After this no join key holds more than a piece.
-    pieces = spark.read.parquet(f"{place}/points").where("pieces > 1 and piece = 0").select("h1", "h2", "pieces")
-    rows = rows.join(F.broadcast(pieces), ["h1", "h2"], "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("pieces")), F.lit(0)).cast("int"))
-    joined = rows.drop("pieces").join(placed.select("h1", "h2", "piece", "shard"), ["h1", "h2", "piece"])
+    first = pts.where("pieces > 1 and piece = 0").select("h1", "h2", "docs", "pieces", (F.col("weight") * F.col("pieces")).alias("bytes"))
+    heavy = first.collect()
+    whole, room = settle([(r["bytes"], r["docs"], r["h1"], r["h2"]) for r in heavy], n_shards, target)
+    whole = spark.createDataFrame(whole, "h1 long, h2 long, fixed int")
+    tree = pts.join(F.broadcast(whole), ["h1", "h2"], "left_anti")
+    placed = grow_tree(spark, tree, n_shards, place, room)
+    # Rows of whole groups know their shard; after this no join key holds more than a piece.
+    known = first.join(F.broadcast(whole), ["h1", "h2"], "left").select("h1", "h2", "pieces", "fixed")
+    rows = rows.join(F.broadcast(known), ["h1", "h2"], "left").withColumn(
+        "piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+    settled = rows.where("fixed is not null").withColumn("shard", F.col("fixed"))
+    joined = rows.where("fixed is null").join(placed.select("h1", "h2", "piece", "shard"), ["h1", "h2", "piece"]).unionByName(settled).drop("fixed")
     return slots(joined, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
 
 

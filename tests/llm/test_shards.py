@@ -93,3 +93,36 @@ def test_24_shards_are_near_equal(spark):
         total[r.shard] += r.size
     mean = sum(total.values()) / 24
     assert len(total) == 24 and max(total.values()) < 1.05 * mean and min(total.values()) > 0.95 * mean
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"text {i} " * int(n), "en", f"src{i % 9}", None, "a") for i, n in enumerate(rng.integers(1, 60, 6000))]
+    mean = sum(len(r[1]) + 8 for r in rows) / 6
+    for g, share in enumerate((0.9, 0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1)):  # of what a shard holds at least
+        text = f"group {g} " * 20
+        rows += [(10_000 * (g + 1) + i, text, "de", f"src{i % 9}", None, "a") for i in range(int(share * mean / (len(text) + 8)))]
+    rows += [(200_000 + i, f"{i} " + "a long text " * int(0.2 * mean / 12), None, None, None, None) for i in range(2)]
+    got = sh.shard_documents(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    total, shards = Counter(), defaultdict(set)
+    for r in got:
+        total[r.shard] += r.size
+        shards[r.text_crc32].add(r.shard)
+    assert len(got) == len(rows) and all(len(x) == 1 for x in shards.values())
+    mean = sum(total.values()) / 8
+    assert len(total) == 8 and max(total.values()) < 1.02 * mean and min(total.values()) > 0.98 * mean
+
+
+def test_settle():
+    placed, room = sh.settle([(60.0, 9, 1, 1), (60.0, 9, 0, 2), (30.0, 9, 3, 3), (50.0, 9, 4, 4), (250.0, 1, 5, 5)], 3, 100.0)
+    assert placed == [(5, 5, 0), (0, 2, 1), (1, 1, 2), (3, 3, 1)] and room == [0.0, 10.0, 40.0]  # 50 fits beside no other
+    assert sh.settle([], 2, 7.0) == ([], [7.0, 7.0])
+
+
+def test_one_text_larger_than_a_shard(spark):
+    rows = [(0, "x" * 50_000, "en", "s", None, None)] + [(i, "y" * 90 + str(i), "en", "s", None, None) for i in range(1, 800)]
+    total = Counter()
+    for r in sh.shard_documents(spark.createDataFrame(rows, SCHEMA), 5).collect():
+        total[r.shard] += r.size
+    light = sorted(total.values())[:4]
+    assert max(total.values()) == 50_008 and light[-1] < 1.02 * light[0]
