@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tastemill import fixed
 from tastemill.functions.numbers import mean_of_tenths, one_place
 from tastemill.operators.filters import by_source
+from tastemill.operators.joins import own_exchange
 from tastemill.operators.upsert import apply_movie_stats
 
 
@@ -65,6 +66,21 @@ def add_stats(sums: DataFrame, deltas: DataFrame) -> DataFrame:
     return sums.unionByName(deltas).groupBy("movieId").agg(F.sum("sum10").alias("sum10"), F.sum("n").alias("n"))
 
 
+def stats_after_delete(ratings: DataFrame, parent_ids: DataFrame, fk: str = "userId") -> DataFrame:
+    """New statistics of the movies that lose ratings when parents (column ``id``) are deleted; 0 and 0 where none is left.
+
+    One pass over the ratings: kept and lost ones are counted side by side. Ids may repeat; null ids delete nothing.
+    """
+    gone = own_exchange(parent_ids.select(F.col("id").alias(fk)).distinct().withColumn("gone", F.lit(True)))
+    kept = F.col("gone").isNull()
+    tenths = (F.col("rating").cast("decimal(2,1)") * 10).cast("bigint")
+    sums = ratings.select(fk, "movieId", "rating").join(gone, fk, "left").groupBy("movieId").agg(
+        F.coalesce(F.sum(F.when(kept, tenths)), F.lit(0)).alias("sum10"), F.count(F.when(kept, F.col("rating"))).alias("n"),
+        F.count("gone").alias("lost"))
+    mean = F.when(F.col("n") > 0, mean_of_tenths(F.col("sum10"), F.col("n"))).otherwise(0)
+    return sums.where(F.col("lost") > 0).select("movieId", mean.alias("avgRating"), F.col("n").alias("ratingCount"))
+
+
 def dataset_profile(ratings: DataFrame, approximate: bool = False) -> DataFrame:
     """Number of ratings, users and movies, in one pass over the table."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct

@@ -292,6 +292,38 @@ def cascade_delete(spark, folder):
     return tagged[0].unionByName(tagged[1])
 
 
+GONE_USERS = "gone AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey <= 1)"
+
+
+def without_users(spark, folder):
+    """Users, ratings, recommendations and movies when the users of the first two nations are deleted."""
+    gone = warehouse.table(spark, folder, "customer").where("c_nationkey <= 1").select(F.col("c_custkey").alias("id"))
+    rating = warehouse.rating(spark, folder)
+    movie = upsert.apply_movie_stats(warehouse.movie(spark, folder), aggregates.movie_stats(rating))
+    return integrity.delete_users(
+        gone, warehouse.user(spark, folder), rating, warehouse.recommendation(spark, folder), movie, warehouse.moment(warehouse.NOW))
+
+
+@query("delete_users", f"""WITH {RECS}, {GONE_USERS}
+SELECT 'user' AS child, c_custkey AS userId, CAST(NULL AS BIGINT) AS movieId FROM customer WHERE c_custkey NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'rating', userId, movieId FROM rating WHERE userId NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'recommendation', userId, movieId FROM recs WHERE userId NOT IN (SELECT id FROM gone)""")
+def delete_users(spark, folder):
+    users, ratings, recs, _ = without_users(spark, folder)
+    rows = [users.select(F.lit("user").alias("child"), F.col("id").alias("userId"), F.lit(None).cast("bigint").alias("movieId"))]
+    rows += [df.select(F.lit(name).alias("child"), "userId", "movieId") for name, df in (("rating", ratings), ("recommendation", recs))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("delete_users_stats", f"""WITH {RATINGS}, {MOVIE}, {GONE_USERS},
+kept AS (SELECT * FROM rating WHERE userId NOT IN (SELECT id FROM gone)), {stats('old_stats', 'rating')}, {stats('new_stats', 'kept')}
+SELECT movie.id, COALESCE(n.avgRating, 0.0) AS avgRating, CAST(COALESCE(n.ratingCount, 0) AS INTEGER) AS ratingCount,
+       CAST(CASE WHEN COALESCE(n.ratingCount, 0) < o.ratingCount THEN {NOW} ELSE {LOADED} END AS BIGINT) AS updated_at
+FROM movie LEFT JOIN old_stats o ON o.movieId = movie.id LEFT JOIN new_stats n ON n.movieId = movie.id""")
+def delete_users_stats(spark, folder):
+    return plain(without_users(spark, folder)[3].select("id", "avgRating", "ratingCount", "updated_at"))
+
+
 @query("ratings_for_user", f"""WITH {RATINGS}
 SELECT userId, movieId, CAST(rating AS DOUBLE) AS rating FROM rating WHERE userId = 7""")
 def ratings_for_user(spark, folder):

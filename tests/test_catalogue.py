@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastemill import schemas
 from tastemill.operators import aggregates, feeds, filters, integrity, joins, ranking
 from tastemill.operators.similar import similar_items
+from tastemill.operators.upsert import apply_movie_stats
 from tastemill.plans.importer import import_files
 from tastemill.sources.files import read_movielens, seed_movies
 from tastemill.config import JdbcConfig
@@ -124,6 +125,27 @@ def test_orphans_and_copies(spark):
     assert sorted(r["n"] for r in left.collect()) == [2, 3]
 
 
+def test_statistics_follow_deleted_users(spark):
+    rows = [(1, 10, 4.0), (2, 10, 1.0), (3, 10, 4.5), (1, 11, 5.0), (2, 12, 3.0), (None, 12, 2.0), (1, 12, None), (3, 13, 2.5)]
+    ratings = spark.createDataFrame(rows, "userId bigint, movieId bigint, rating double").withColumn(
+        "rating", F.col("rating").cast("decimal(2,1)"))
+    users = spark.createDataFrame([(k, f"u{k}") for k in (1, 2, 3, 4)], "id bigint, userName string")
+    recs = ratings.select("userId", "movieId").withColumn("userName", F.lit("clash"))
+    movie = spark.createDataFrame([(m, 0) for m in (10, 11, 12, 13, 14)], "id bigint, updated_at int").withColumns({
+        "avgRating": F.lit(0).cast("decimal(3,2)"), "ratingCount": F.lit(0), "gone": F.lit("kept")})
+    movie = apply_movie_stats(movie, aggregates.movie_stats(ratings))
+    ids = spark.createDataFrame([(1,), (1,), (None,), (99,)], "id bigint")
+    left = integrity.delete_users(ids, users, ratings, recs, movie, F.lit(7))
+    assert [df.columns for df in left] == [df.columns for df in (users, ratings, recs, movie)]
+    assert sorted(r.id for r in left[0].collect()) == [2, 3, 4]
+    for child in left[1:3]:
+        assert sorted((r.userId or 0, r.movieId) for r in child.collect()) == [(0, 12), (2, 10), (2, 12), (3, 10), (3, 13)]
+    assert sorted((r.id, float(r.avgRating), r.ratingCount, r.updated_at) for r in left[3].collect()) == [
+        (10, 2.75, 2, 7), (11, 0.0, 0, 7), (12, 2.5, 2, 0), (13, 2.5, 1, 0), (14, 0.0, 0, 0)]
+    same = integrity.delete_users(ids.limit(0), users, ratings, recs, movie, F.lit(7))
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) for a, b in zip(same, (users, ratings, recs, movie)))
+
+
 def test_metrics(spark):
     watched, metrics = aggregates.with_metrics(spark.range(10), "seen", even=F.col("id") % 2 == 0)
     watched.write.format("noop").mode("overwrite").save()

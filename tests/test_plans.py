@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
-from tastemill.operators.aggregates import movie_stats, refresh_stats
+from tastemill.operators.aggregates import movie_stats, refresh_stats, stats_after_delete
 from tastemill.operators.filters import check_ratings, sample_users
 from tastemill.operators.joins import resolve_stream_ids, user_ratings_view, user_recs_view
 from tastemill.operators import pages
@@ -121,6 +121,19 @@ def test_popular_movie_is_split_next_to_an_aggregate(spark, folder, view):
         assert joined.count() == 60_000
 
 
+def test_busy_user_is_split_when_users_are_deleted(spark, folder):
+    """Ratings are read once, and those of a user with half of them go to several tasks whether the user is deleted or not."""
+    hot_ratings(spark).select(F.col("movieId").alias("userId"), F.col("userId").alias("movieId"), "rating").write.parquet(f"{folder}/hot")
+    spark.range(0, 400, 3).union(spark.range(0, 400, 3)).write.parquet(f"{folder}/ids")
+    ratings, ids = spark.read.parquet(f"{folder}/hot"), spark.read.parquet(f"{folder}/ids")
+    with settings(spark, **SMALL_PARTS):
+        changed = stats_after_delete(ratings, ids)
+        assert plan(changed).count("FileScan") == 2
+        assert "skew=true" in final_plan(changed)
+        lost = ratings.join(ids, ratings["userId"] == ids["id"], "left_semi").select("movieId").distinct()
+        assert changed.count() == lost.count() > 0
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_a_merge_reads_its_inputs_once(spark, folder, small):
     """The target is scanned once, or once more for its keys alone where a small batch is looked up."""
