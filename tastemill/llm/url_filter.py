@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tastemill.llm.registry import query, table
 
@@ -32,6 +33,7 @@ SOFT = ("ad", "ads", "bet", "bets", "bonus", "cheap", "crack", "drugs", "farm",
         "loan", "nude", "pharma", "pills", "poker", "sex", "torrent", "track",
         "tracker", "win")
 SOFT_HITS = 2
+TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,28 @@ class Vocabulary:
         return found
 
 
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_UPPER_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_UPPER = str.maketrans(*_UPPER_LOWER)
 
 
 def lower_ascii(text: str) -> str:
     return text.translate(_UPPER)
 
 
+def read_vocabulary(terms: DataFrame, soft_hits: int = SOFT_HITS) -> Vocabulary:
+    """The vocabulary of a table with ``term`` and ``strict`` (boolean; null is soft), in place of the one above.
+
+    Terms are compared in lower case (ASCII); null and empty ones are left out, a term of both kinds is strict, other columns do
+    not matter. A table without terms blocks nothing. More than ``TERMS`` different terms are refused, not cut: each task holds all.
+    """
+    kinds = terms.where("term <> ''").groupBy(F.translate("term", *_UPPER_LOWER).alias("term")).agg(
+        F.max(F.coalesce("strict", F.lit(False))).alias("strict"))
+    rows = sorted((r["term"], r["strict"]) for r in kinds.limit(TERMS + 1).collect())
+    if len(rows) > TERMS:
+        raise ValueError(f"a vocabulary has at most {TERMS} terms")
+    return Vocabulary(tuple(t for t, s in rows if s), tuple(t for t, s in rows if not s), soft_hits)
+
+
 def _first(text: str, marks: str) -> int:
     return min((at for at in map(text.find, marks) if at >= 0), default=len(text))
 
@@ -96,7 +113,7 @@ def by_host(rules: Sequence[tuple[str, str]]) -> dict[str, list[tuple[str, str,
 def hits(url: str, automaton: ahocorasick.Automaton) -> dict[str, int]:
     """Different terms between boundaries, with their weights."""
     text, found = lower_ascii(url), {}
-    for end, (term, weight) in automaton.iter(text):
+    for end, (term, weight) in automaton.iter(text) if len(automaton) else ():
         begin = end - len(term) + 1
         if not (_word(text, begin - 1) or _word(text, end + 1)):
             found[term] = weight
@@ -147,7 +164,7 @@ def _sql() -> str:
         return " + ".join(
             f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
 
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    upper, lower = _UPPER_LOWER
     return f"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
