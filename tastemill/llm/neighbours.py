@@ -4,8 +4,9 @@ On a bounded sample the graph of nearest neighbours is cut into balanced parts:
 second eigenvector of the graph's averaging step and a few rounds of swaps that cut fewer edges and keep the
 halves equal. A small network with one hidden layer then learns, for a vector, in which parts its neighbours
 lie. It places every row of the table in its most probable part, and sends each query to its several most
-probable ones, as many as the sample's held-out queries need for ``GOAL`` of their neighbours. There all
-candidates are compared exactly, in double precision.
+probable ones, as many as the sample's held-out queries need for ``GOAL`` of their neighbours, and for ``LEAST`` of
+them with two standard errors to spare, so that few held-out queries ask for more parts. There all candidates
+are compared exactly, in double precision.
 
 The sample is at most ``SAMPLE`` rows chosen by a hash of the id, so is the number of parts; every row is
 indexed. Parts are cut into blocks of candidates and of queries, every pair of which is a unit of work, so a
@@ -38,7 +39,7 @@ SAMPLE = 8192
 PART_ROWS = 128  # sample rows in a part
 HIDDEN = 128
 NEAR = 10
-GOAL = 0.95
+GOAL, LEAST = 0.95, 0.9
 CANDIDATES, QUERIES = 16_384, 4_096
 
 
@@ -156,8 +157,9 @@ def fit(x: np.ndarray, k: int = K, goal: float = GOAL) -> Router:
     true = np.argsort(-(queries @ base.T), axis=1)[:, :k]
     rank = np.argsort(router.order(queries), axis=1)  # place of each part in a query's order
     needed = np.take_along_axis(rank, placed[true], axis=1)
-    recall = [(needed < probes).mean() for probes in range(1, n_parts + 1)]
-    return Router(layers, int(np.argmax(np.array(recall) >= goal)) + 1)
+    recall = np.array([(needed < probes).mean(axis=1) for probes in range(1, n_parts + 1)])  # of every query
+    mean, error = recall.mean(axis=1), recall.std(axis=1) / np.sqrt(len(queries))
+    return Router(layers, int(np.argmax((mean >= goal) & (mean - 2 * error >= LEAST))) + 1)
 
 
 def usable(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
