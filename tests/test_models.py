@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,42 @@ def test_lengths_are_exact_to_double_precision(spark):
     found = {r["id"]: r["norm"] for r in vectors(spark, rows).select("id", _norm("features").alias("norm")).collect()}
     for key, vector in rows:
         assert abs(found[key] / np.linalg.norm(np.float64(np.float32(vector))) - 1) < 1e-14
+
+
+def test_items_are_copied_once_a_group(spark):
+    """No row per user and block is shuffled, however little the blocks exclude."""
+    rng = np.random.default_rng(11)
+    users, items = ([(i, row) for i, row in enumerate(rng.normal(size=(size, 6)).tolist())] for size in (300, 400))
+    found = score_topn(vectors(spark, users), vectors(spark, items), 5, 100, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(blocks" not in plan and "FlatMapCoGroupsInPandas" not in plan
+    assert sorted((r["userId"], r["movieId"], r["rank"]) for r in found.collect()) == brute(users, items, 5)
+
+
+def test_blocks_out_of_reach_are_not_multiplied():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8))
+    items, users = (factors._directions(np.repeat(centres, size, axis=0) + 0.05 * rng.normal(size=(20 * size, 8))) for size in (50, 3))
+    pivots = factors._directions(centres)
+    blocks = [slice(at, at + 50) for at in range(0, 1000, 50)]
+    cones = factors.Cones(pivots, pd.DataFrame(
+        [(k << 32, 1.0, (items[own] @ pivots[k]).min()) for k, own in enumerate(blocks)], columns=["block", "longest", "widest"]))
+    nothing = np.zeros(0, np.int64)
+    lists = factors.Lists(np.arange(60), users, (nothing, nothing), 5)
+    lists.start(np.arange(1000), items)
+    for k, own in enumerate(blocks):
+        lists.offer(np.arange(own.start, own.stop), items[own], cones.bounds(k << 32, lists.vectors, lists.length))
+    found = [tuple(row) for batch in lists.batches() for row in zip(*(batch.column(c).to_pylist() for c in ("userId", "movieId", "rank")))]
+    exact = users @ items.T
+    assert found == [(u, int(m), k) for u in range(60) for k, m in enumerate(np.argsort(-exact[u], kind="stable")[:5], 1)]
+    assert lists.pairs <= 60 * 1000 / 3
+
+
+def test_lists_of_repeated_users_equal_items_and_odd_vectors(spark, monkeypatch):
+    """Rows of one user share a list, ties go to the lower id whatever the block, items that are no numbers take no part."""
+    monkeypatch.setattr(factors, "WAITING", 3)
+    items = [(i, [1.0, 0.0]) for i in range(40)] + [(50, [float("nan"), 1.0]), (51, [0.0, 2.0]), (51, [0.0, 2.0])]
+    users = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])]
+    found = score_topn(vectors(spark, users), vectors(spark, items), 3, 2, 7)
+    assert sorted((r["userId"], r["rank"], r["movieId"]) for r in found.collect()) == [
+        (1, 1, 51), (1, 2, 51), (1, 3, 0), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
