@@ -230,3 +230,25 @@ def test_lists_of_repeated_users_equal_items_and_odd_vectors(spark, monkeypatch)
     found = score_topn(vectors(spark, users), vectors(spark, items), 3, 2, 7)
     assert sorted((r["userId"], r["rank"], r["movieId"]) for r in found.collect()) == [
         (1, 1, 51), (1, 2, 51), (1, 3, 0), (2, 1, 0), (2, 2, 1), (2, 3, 2), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
+
+
+def test_training_blocks_do_not_grow_before_memory_asks(spark, monkeypatch):
+    """A factor is sent to every block that needs it, so 36 million ratings are no reason for more than the least number."""
+    asked = {}
+
+    class Counted:
+        sparkSession = spark
+
+        def count(self):
+            return 36_000_000
+
+    class Stopped:
+        def __init__(self, **settings):
+            asked.update(settings)
+
+        def fit(self, frame):
+            return None
+
+    monkeypatch.setattr(als, "ALS", Stopped)
+    als.train_als(Counted())
+    assert asked["numUserBlocks"] == asked["numItemBlocks"] == 10
