@@ -165,6 +165,12 @@ def commit_name(batch: DataFrame, batch_id: int, query: str | None = None) -> st
     return f"{query}-{batch_id}"
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """A batch dealt out evenly. A source of few files or topic partitions comes as few parts, however much their messages
+    take up once they are parsed, and every step that reads the kept batch would do so in as few tasks."""
+    return batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _keep_text(rows: DataFrame, folder: str | None, commit: str) -> None:
     if folder:
         rows.select("raw").write.mode("overwrite").text(f"{folder}/batch={commit}")
@@ -222,7 +228,7 @@ def ratings_batch(ratings: KeyedTable, sums: KeyedTable, rejects: str | None = N
 
     def run(batch: DataFrame, batch_id: int) -> None:
         commit = commit_name(batch, batch_id, query)
-        batch.persist()
+        batch = spread(batch).persist()
         before = None
         try:
             _keep_text(batch.where(~_usable_rating()), rejects, commit)
@@ -258,7 +264,7 @@ def items_batch(movies: KeyedTable, rejects: str | None = None, overwrite_stats:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         commit = commit_name(batch, batch_id, query)
-        batch.persist()
+        batch = spread(batch).persist()
         try:
             _keep_text(batch.where(~_usable_item()), rejects, commit)
             good = batch.where(_usable_item())

@@ -277,3 +277,20 @@ def test_the_later_event_of_an_item_counts(spark, folder):
                           F.timestamp_seconds("at").alias("eventTime"), F.lit("").alias("raw"))
     ingest.items_batch(movies, query="batch")(batch, 0)
     assert sorted((r["tmdbId"], r["title"]) for r in movies.read().collect()) == [("t1", "Alpha new"), ("t2", "Same")]
+
+
+def test_batches_are_kept_in_many_parts(spark, folder, monkeypatch):
+    """A batch that comes as one part is not read by one task in every step."""
+    kept, spread = [], ingest.spread
+
+    def counted(batch):
+        kept.append(spread(batch))
+        return kept[-1]
+
+    monkeypatch.setattr(ingest, "spread", counted)
+    rows = spark.range(100).select(F.col("id").alias("userId"), F.lit(1).cast("bigint").alias("movieId"), F.lit(3.0).alias("rating"),
+                                   F.lit(10).cast("bigint").alias("timestamp"), F.lit("x").alias("raw")).coalesce(1)
+    ingest.ratings_batch(ingest.rating_store(spark, folder, 2), ingest.sums_store(spark, folder, 2), query="q")(rows, 0)
+    sizes = kept[0].rdd.glom().map(len).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1 and max(sizes) <= 75
+    assert ingest.rating_store(spark, folder, 2).read().count() == 100
