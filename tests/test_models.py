@@ -1,6 +1,9 @@
 """Training, ranking, factor scores, numbering."""
 
 import random
+import re
+import time
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ from tastemill.operators.numbering import dense_index
 from tastemill.operators.ranking import rank_recommendations
 from tastemill.operators.upsert import RECOMMENDATION_KEY
 from tastemill.plans.batch_als import recommend, run_batch_als
+from tastemill.session import release
 from tastemill.sources.store import KeyedTable
 
 TINY = AlsConfig(rank=3, reg_param=0.1, max_iter=3, top_n=4, max_user_id=None)
@@ -252,3 +256,44 @@ def test_training_blocks_do_not_grow_before_memory_asks(spark, monkeypatch):
     monkeypatch.setattr(als, "ALS", Stopped)
     als.train_als(Counted())
     assert asked["numUserBlocks"] == asked["numItemBlocks"] == 10
+
+
+def shuffles(spark):
+    """Numbers of the shuffles that have files."""
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(",")
+    return set(re.findall(r"shuffle_(\d+)_", blocks))
+
+
+def left_of(spark, before, most):
+    """Shuffles that are still there since; files go a little later than the plans that made them."""
+    for _ in range(20):
+        if len(shuffles(spark) - before) <= most:
+            break
+        time.sleep(0.2)
+    return len(shuffles(spark) - before)
+
+
+def test_iterations_leave_no_shuffles(spark):
+    """However many iterations there are, only the shuffles of the last one stay with the model."""
+    frame = als.training_frame(ratings(spark)).persist()
+    frame.count()
+    kept = []
+    for n in (2, 10):
+        release(spark)
+        before = shuffles(spark)
+        model = als.train_als(frame, replace(TINY, max_iter=n))
+        kept.append(left_of(spark, before, kept[0] if kept else 0))
+        assert model.userFactors.count() == 12
+    assert kept[1] <= kept[0]
+    frame.unpersist()
+
+
+def test_lists_do_not_hold_the_training(spark):
+    """Before the lists are made, the shuffles of the ratings, the numbering and the training are gone."""
+    release(spark)
+    before = shuffles(spark)
+    lists = recommend(ratings(spark).repartition(3), TINY)
+    release(spark)
+    assert left_of(spark, before, 4) <= 4
+    assert "userFactors" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    assert lists.count() == 48
