@@ -17,8 +17,10 @@ from tastemill.operators.factors import _norm, score_topn, similar_by_factors
 from tastemill.operators.numbering import dense_index
 from tastemill.operators.ranking import rank_recommendations
 from tastemill.operators.upsert import RECOMMENDATION_KEY
+from tastemill.plans import model_queries
 from tastemill.plans.batch_als import recommend, run_batch_als
 from tastemill.session import release
+from tastemill.sources import warehouse
 from tastemill.sources.store import KeyedTable
 
 TINY = AlsConfig(rank=3, reg_param=0.1, max_iter=3, top_n=4, max_user_id=None)
@@ -297,3 +299,21 @@ def test_lists_do_not_hold_the_training(spark):
     assert left_of(spark, before, 4) <= 4
     assert "userFactors" not in lists._jdf.queryExecution().optimizedPlan().toString()
     assert lists.count() == 48
+
+
+@pytest.mark.parametrize("query", [model_queries.als_time_split])
+def test_ratings_are_read_once(spark, monkeypatch, query):
+    """Neither another setting nor a second run makes the ratings anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    given = ratings(spark).select("userId", "movieId", F.col("rating").cast("decimal(2,1)").alias("rating"),
+                                  F.when((F.col("userId") + F.col("movieId")) % 4 > 0, 900_000_000).otherwise(1_000_000_000).cast("bigint").alias("timestamp"))
+    n = given.count()
+    monkeypatch.setattr(warehouse, "rating", lambda spark, folder: given.mapInArrow(told, given.schema))
+    assert query(spark, "").count() > 0
+    assert made.value == n
