@@ -301,7 +301,7 @@ def test_lists_do_not_hold_the_training(spark):
     assert lists.count() == 48
 
 
-@pytest.mark.parametrize("query", [model_queries.als_time_split])
+@pytest.mark.parametrize("query", [model_queries.als_time_split, model_queries.batch_als, model_queries.als_unseen_shape])
 def test_ratings_are_read_once(spark, monkeypatch, query):
     """Neither another setting nor a second run makes the ratings anew."""
     made = spark.sparkContext.accumulator(0)
