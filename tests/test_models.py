@@ -3,10 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +319,52 @@ def test_ratings_are_read_once(spark, monkeypatch, query):
     monkeypatch.setattr(warehouse, "rating", lambda spark, folder: given.mapInArrow(told, given.schema))
     assert query(spark, "").count() > 0
     assert made.value == n
+
+
+def test_blocks_go_to_groups_that_ask(spark):
+    """Lengths differ: nearly all blocks are too short for every list, and no group gets them; asked are all that hold a list's items."""
+    rng = np.random.default_rng(13)
+    items = 1 + 0.2 * np.abs(rng.normal(size=(3000, 4)))
+    items *= np.linspace(1, 3, 3000)[:, None]
+    users = 1 + 0.2 * np.abs(rng.normal(size=(90, 4)))
+    dealt, cones, sample = factors._dealt(vectors(spark, list(enumerate(items.tolist()))), 50)
+    block = {row["id"]: row["block"] for row in dealt.collect()}
+    for seen in (0, 30):
+        given = pa.record_batch({"group": pa.array(np.arange(90, dtype=np.int32) % 3), "features": pa.array(users.tolist()),
+                                 "seen": pa.array(np.full(90, seen))})
+        found, = factors._asked_of(5, cones, sample, 3)(iter([given]))
+        asked = set(zip(found.column("group").to_pylist(), found.column("block").to_pylist()))
+        best = np.argsort(-(users @ items.T), axis=1)[:, :5 + seen]
+        assert {(user % 3, block[item]) for user in range(90) for item in best[user].tolist()} <= asked
+        assert len(asked) <= 3 * len(cones.block) / 4
+
+
+def test_rows_of_items_are_small(spark, monkeypatch):
+    """However large a block is, its rows are not, because Arrow hands over a fixed number of rows at a time."""
+    monkeypatch.setattr(factors, "ROW", 160)
+    rng = np.random.default_rng(17)
+    users, items = ([(i, row) for i, row in enumerate(rng.normal(size=(size, 4)).tolist())] for size in (30, 200))
+    dealt = factors._dealt(vectors(spark, items), 100)[0]
+    assert max(row["count"] for row in dealt.groupBy("block", "piece").count().collect()) <= 4
+    found = score_topn(vectors(spark, users), vectors(spark, items), 5, 10, 100)
+    assert sorted((r["userId"], r["movieId"], r["rank"]) for r in found.collect()) == brute(users, items, 5)
+
+
+def test_lists_are_put_in_order_some_at_a_time():
+    """Beside its lists a group of users takes little memory, however many pairs wait."""
+    rng = np.random.default_rng(19)
+    users, items = 1 + rng.random((factors.USER_LIMIT, 4)), 1 + rng.random((3000, 4))
+    nothing = np.zeros(0, np.int64)
+    lists = factors.Lists(np.arange(len(users)), users, (nothing, nothing), 20)
+    tracemalloc.start()
+    try:
+        for at in range(0, len(items), 500):
+            lists.offer(np.arange(at, at + 500), items[at:at + 500], np.full(len(users), np.inf))
+        for _ in lists.batches():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160e6
+    some = rng.choice(len(users), 50, replace=False)
+    assert [row.tolist() for row in lists.item[some]] == np.argsort(-(users[some] @ items.T), axis=1, kind="stable")[:, :20].tolist()
