@@ -368,3 +368,27 @@ def test_lists_are_put_in_order_some_at_a_time():
     assert peak < 160e6
     some = rng.choice(len(users), 50, replace=False)
     assert [row.tolist() for row in lists.item[some]] == np.argsort(-(users[some] @ items.T), axis=1, kind="stable")[:, :20].tolist()
+
+
+def test_training_blocks_fit_a_task(spark, monkeypatch):
+    """216 million ratings: a block has at most 6 million, and at most 512 MB of factors whatever the rank."""
+    asked = []
+
+    class Counted:
+        sparkSession = spark
+
+        def count(self):
+            return 216_000_000
+
+    class Stopped:
+        def __init__(self, **settings):
+            asked.append((settings["numUserBlocks"], settings["numItemBlocks"]))
+
+        def fit(self, frame):
+            return None
+
+    monkeypatch.setattr(als, "ALS", Stopped)
+    for rank in (5, 10, 30, 100):
+        als.train_als(Counted(), AlsConfig(rank=rank))
+        assert asked[-1][0] == asked[-1][1] and 216_000_000 / asked[-1][0] <= min(6_000_000, 512_000_000 / (4 * rank + 20))
+    assert asked[1][0] == 36
